@@ -391,6 +391,9 @@ def mail_parse(spark, sf_dir):
     from ..sources.mailparse import parse_raw_mail, render_raw_mail
     t = _t(spark, sf_dir)
     raw = render_raw_mail(t.captura, t.captura_anexos)
+    # Parsing is Python CPU work: spread it over every core instead of the
+    # few byte-sized partitions AQE would coalesce the small input into.
+    raw = raw.repartition(spark.sparkContext.defaultParallelism)
     parsed = parse_raw_mail(raw)
     return parsed.select("path", "message_id", "remetente", "assunto", "corpo_email",
                          F.size("anexos").alias("n_partes"),
