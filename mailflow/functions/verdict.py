@@ -51,14 +51,17 @@ def parse_verdict(df: DataFrame, text: str = "conteudo") -> DataFrame:
     ``valido`` NULL, an empty missing list, action ``aguardar`` and the raw
     (stripped) text in the reason.
     """
-    body = unfence(text)
-    v = F.try_parse_json(body)
+    # Parse once: the text is unfenced and parsed in one projection, the
+    # fields are read from the parsed value in the next.
+    staged = df.select("*", unfence(text).alias("_body")) \
+               .withColumn("_v", F.try_parse_json(F.col("_body")))
+    body, v = F.col("_body"), F.col("_v")
     ok = v.isNotNull() & body.startswith("{")
     get = lambda path, typ: F.try_variant_get(v, path, typ)
     missing = F.coalesce(get("$.campos_faltantes", "array<string>"),
                          F.array().cast("array<string>"))
-    return df.select(
-        "*",
+    return staged.select(
+        *df.columns,
         F.when(ok, get("$.valido", "boolean")).alias("valido"),
         F.when(ok, missing).otherwise(F.array().cast("array<string>")).alias("campos_faltantes"),
         F.when(ok, get("$.coerencia", "boolean")).alias("coerencia"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import has_suffix
 from ..functions.display import capitalize_first
 from .common import (asc_nf, bounded, desc_nf, given, in_date_range, left_join_bounded,
-                     on_date, optional_filters, restrict_to, top_k)
+                     materialize_page, on_date, optional_filters, restrict_to, top_k)
 
 DEFAULT_TYPE = "protocolo"
 LISTING_LIMIT = 200
@@ -86,6 +86,7 @@ def protocol_listing(emails: DataFrame, protocolos: DataFrame, respostas: DataFr
     p = optional_filters(p, status=status)
     cases = p.join(e, "id_email", "inner")
     page = top_k(cases, [desc_nf("criado_em"), asc_nf("id_protocolo")], limite)
+    page = materialize_page(page, limite)
 
     r = _replies(respostas, REPLY_COLS, reply_key)
     page = page.withColumn("_lkey", F.col(reply_key))
@@ -138,11 +139,11 @@ def case_board(emails: DataFrame, protocolos: DataFrame, respostas: DataFrame, d
         rows = rows.filter(F.col("acao_sugerida") == F.lit(acao_ia))
         page = top_k(rows, order, limite)
     else:
-        page = top_k(rows, order, limite)
+        page = materialize_page(top_k(rows, order, limite), limite)
         page = left_join_bounded(page, r, "_lkey", "_rkey", limite)
         # Re-cut the (small) joined page so an outer limit never reaches inside it.
         page = top_k(page, order, limite)
-    return page.drop("_lkey")
+    return materialize_page(page.drop("_lkey"), limite)
 
 
 def attachments_of(page: DataFrame, anexos: DataFrame, max_rows: int | None) -> DataFrame:

@@ -48,6 +48,19 @@ def top_k(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
     return ordered if k is None else ordered.limit(int(k))
 
 
+def materialize_page(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """Compute a bounded page (a top-k result) once.
+
+    The page feeds several joins (semi-join reductions and the final join);
+    without this, each use would re-run the full scan and join that produced
+    it. A reliable checkpoint to the shared checkpoint folder writes at most
+    ``max_rows`` rows and cuts the lineage. Unbounded frames stay lazy.
+    """
+    if max_rows is None or max_rows > BROADCAST_MAX_ROWS:
+        return df
+    return df.checkpoint(eager=True)
+
+
 def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     """Broadcast hint for a side whose row count is bounded by ``max_rows``."""
     if max_rows is not None and max_rows <= BROADCAST_MAX_ROWS:

@@ -22,7 +22,7 @@ from ..operators import capture as K
 from ..operators import ranking as R
 from ..operators import upsert as U
 from ..operators import validation as VA
-from ..sources.fixtures import FixtureTables
+from ..sources.fixtures import FixtureTables, stored_fixtures
 
 # Fixed parameters of the registered queries.
 AS_OF = "2026-01-01 00:00:00"
@@ -33,7 +33,7 @@ DEFAULT_USER = "usuario"
 
 
 def _t(spark: SparkSession, sf_dir: str) -> FixtureTables:
-    return FixtureTables(spark, sf_dir)
+    return stored_fixtures(spark, sf_dir)
 
 
 def _as_of():
