@@ -40,7 +40,9 @@ def validation_backlog(emails: DataFrame, protocolos: DataFrame, data=None,
     page is deterministic.
     """
     e = on_date(emails.filter(F.col("tipo_email") == DEFAULT_TYPE), "recebido_em", data)
-    out = e.join(protocolos.select("id_email"), "id_email", "left_anti")
+    # Distinct keys first (combined map-side): a mail with a huge number of
+    # case rows becomes one row per task before the join's shuffle.
+    out = e.join(protocolos.select("id_email").distinct(), "id_email", "left_anti")
     if limite:
         out = top_k(out, [F.col("id_email")], limite)
     return out

@@ -52,7 +52,7 @@ def new_messages(landed: DataFrame, existing: DataFrame, address: str) -> DataFr
     accepted = accepted.withColumn("remetente", address_part("remetente")) \
                        .withColumn("corpo_email", strip_text("corpo_email"))
     first = first_per_key(accepted, "message_id", [F.col("seq")])
-    return first.join(existing.select("message_id"), "message_id", "left_anti")
+    return first.join(existing.select("message_id").distinct(), "message_id", "left_anti")
 
 
 def keyed_emails(new: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: list[str
         for c in target.columns])
     if not insert:
         return updated
-    existing = target.select(F.col(key).alias(key)).join(src.select(key), key, "left_semi")
+    existing = target.select(key).join(src.select(key), key, "left_semi").distinct()
     fresh = src.join(existing, key, "left_anti")
     if insert_only_when is not None:
         fresh = fresh.filter(F.col("_may_insert"))
@@ -93,8 +93,11 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: list[str
 
 
 def append_new(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows of ``rows`` whose ``key`` is not yet in ``target`` (idempotent append)."""
-    return rows.join(target.select(key), key, "left_anti")
+    """Rows of ``rows`` whose ``key`` is not yet in ``target`` (idempotent append).
+
+    The target's keys are de-duplicated first (map-side combined), so a hot
+    key cannot pile up in one join partition."""
+    return rows.join(target.select(key).distinct(), key, "left_anti")
 
 
 def conform_to(df: DataFrame, schema: T.StructType) -> DataFrame:

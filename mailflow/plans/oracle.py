@@ -582,6 +582,7 @@ SELECT 'mail/' || CAST(c.seq AS VARCHAR) || '.eml' AS path, c.message_id, c.reme
 FROM captura c"""
 
 SQL["stream_capture"] = NEW_CAPTURE
+SQL["stream_validation"] = SQL["protocol_append"]
 
 
 def oracle_sql() -> dict[str, str]:

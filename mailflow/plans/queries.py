@@ -406,6 +406,15 @@ def stream_capture(spark, sf_dir):
     return run_capture_stream(spark, sf_dir, SENDER)
 
 
+def stream_validation(spark, sf_dir):
+    """R2: validation as a stream over the stored mails; returns the new cases."""
+    from ..streaming.validation import run_validation_stream
+    t = _t(spark, sf_dir)
+    cases_path, _ = run_validation_stream(spark, t, _as_of(), F.lit(1000000) + F.col("id_email"))
+    cases = spark.read.parquet(cases_path)
+    return cases.join(t.protocolos.select("id_protocolo"), "id_protocolo", "left_anti")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         case_board_attachments, case_board, board_by_date, board_by_action, board_by_status,
@@ -420,6 +429,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         filing_update, divergence_append, validation_history, validation_latest,
         sender_filter, capture_new_messages, capture_emails, capture_attachments,
         capture_quality_failures, capture_summary, capture_outcomes, capture_progress,
-        mail_parse, stream_capture,
+        mail_parse, stream_capture, stream_validation,
     ]
 }
