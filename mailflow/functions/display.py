@@ -16,13 +16,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def falsy_to_null(c) -> Column:
-    """JavaScript truthiness for ids and texts: '' and 0 count as missing."""
-    col = _col(c)
-    return F.when(col.cast("string") == F.lit("0"), F.lit(None)).otherwise(
-        F.nullif(col.cast("string"), F.lit("")))
-
-
 def display_id(reply="id_resposta", protocol="id_protocolo", mail="id_email") -> Column:
     """reply id, else protocol id, else mail id (0 falls through)."""
     return F.coalesce(*[F.nullif(_col(c), F.lit(0)) for c in (reply, protocol, mail)])
