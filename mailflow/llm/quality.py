@@ -7,12 +7,12 @@ language and source a minimum-covariance-determinant estimate is found by
 concentration steps over all documents: start from medians and quartiles, keep
 the ``support`` share of documents that are nearest, take their mean and
 covariance, repeat. A document whose squared Mahalanobis distance exceeds
-``cutoff`` is rejected. Groups under ``min_group`` documents use the estimate
+a chi-square quantile is rejected. Groups under ``min_group`` documents use the estimate
 of all documents. Each step is a Spark aggregation of fixed-size sums, with
 partial sums before the shuffle, so a hot source is no single task's work.
 
 The variance of every statistic is floored at ``FLOOR`` squared plus what a
-share of n words scatters by itself (``noise / n_words``), so a text with one
+share of n words (or lines) scatters by itself (``NOISE / n``), so a text with one
 odd sign, or a short one, is no outlier for that.
 
 Defined results: null or empty text -> zero counts, ``base_failed``, not kept;
@@ -34,7 +34,7 @@ from .common import cut, stored
 
 SYMBOLS = b"#*$%&|<>"  # the characters counted as symbols
 STATS = ("x0", "x1", "x2", "x3", "x4", "x5")
-FLOOR = (0.08, 0.08, 0.10, 0.15, 0.10, 0.10)
+FLOOR = (0.08, 0.06, 0.10, 0.15, 0.10, 0.10)
 NOISE = (1.0, 1.0, 1.0, 3.0, 1.0, 1.0)
 D = len(STATS)
 
@@ -138,7 +138,8 @@ def _inverse(factor: float):
 
 def _distance() -> Column:
     """Squared Mahalanobis distance, shrunk for what short texts scatter by themselves."""
-    z = [(F.col(x) - F.col("c")[i]) / F.sqrt(1 + F.lit(NOISE[i] / (4 * FLOOR[i] ** 2)) / F.greatest("n_words", F.lit(1)))
+    z = [(F.col(x) - F.col("c")[i]) / F.sqrt(1 + F.lit(NOISE[i] / (4 * FLOOR[i] ** 2))
+                                             / F.greatest("n_lines" if x == "x2" else "n_words", F.lit(1)))
          for i, x in enumerate(STATS)]
     total = F.lit(0.0)
     for i in range(D):
@@ -190,9 +191,10 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFra
     return now
 
 
-def judge(docs: DataFrame, keep: list[str], cutoff: float = 60.0, min_group: int = 200) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], confidence: float = 0.99, min_group: int = 200) -> DataFrame:
     """Counts, ``base_failed``, ``distance`` and ``kept`` of each document.
 
+    A squared distance over the chi-square quantile at ``confidence`` rejects.
     ``docs`` needs ``text, lang, source``. ``keep`` names the columns to carry.
     """
     carried = list(dict.fromkeys([*keep, "lang", "source"]))
@@ -200,10 +202,10 @@ def judge(docs: DataFrame, keep: list[str], cutoff: float = 60.0, min_group: int
     m = stored(measured(docs, carried).withColumns({
         "grp": key,
         "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")}), "quality")
-    fit = m.where("not base_failed").select("grp", "n_words", *STATS)
+    fit = m.where("not base_failed").select("grp", "n_words", "n_lines", *STATS)
     sizes = fit.groupBy("grp").agg(F.count("*").alias("size"))
     tagged = fit.join(sizes, "grp").withColumn("g", F.when(F.col("size") >= min_group, F.col("grp")).otherwise("*"))
-    est = estimates(tagged.select("g", "n_words", *STATS))
+    est = estimates(tagged.select("g", "n_words", "n_lines", *STATS))
     everyone = cut(estimates(fit.withColumn("g", F.lit("*")))) if _has_small(sizes, min_group) else est
     pick = est.where("g <> '*'").unionByName(everyone.where("g = '*'"))
     rows = (m.join(sizes, "grp", "left")
@@ -211,7 +213,7 @@ def judge(docs: DataFrame, keep: list[str], cutoff: float = 60.0, min_group: int
             .join(pick, "g", "left"))
     far = F.coalesce(_distance(), F.lit(0.0))
     return (rows.withColumn("distance", far)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff)))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(confidence, D))))
 
 
 def _has_small(sizes: DataFrame, min_group: int) -> bool:
