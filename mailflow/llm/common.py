@@ -8,10 +8,12 @@ exactly A-Z, so both rules of the contracts are plain bytes methods.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
@@ -25,13 +27,40 @@ def crc_mod(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+_scratch: list[str] | None = None  # paths to give back, while a scratch scope is open
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if _scratch is not None:
+        _scratch.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def scratch_scope(paths: list[str]) -> Iterator[None]:
+    """Collects the paths that ``stored`` writes inside into ``paths``."""
+    global _scratch
+    before, _scratch = _scratch, paths
+    try:
+        yield
+    finally:
+        _scratch = before
+
+
+def free(spark: SparkSession, paths: list[str]) -> None:
+    """Gives back the disk of written tables by overwriting each with an empty one."""
+    while paths:
+        spark.createDataFrame([], "freed int").coalesce(1).write.mode("overwrite").parquet(paths.pop())
+
+
+def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """``df`` hinted for broadcast if a count shows at most ``most`` rows, else as it is (shuffled)."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables of an iteration."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -140,7 +140,7 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
     return list(ranks), np.log(weight / weight.sum())
 
 
-def fit(words: DataFrame, ends: int, lattice, logp: np.ndarray, rounds: int = 2, floor: float = 0.1) -> np.ndarray:
+def fit(words: DataFrame, ends: int, lattice, logp: np.ndarray, rounds: int = 3, floor: float = 0.1) -> np.ndarray:
     """Expectation maximisation over ``words(word, c)``; one row per piece comes back each round."""
     spark = words.sparkSession
     for _ in range(rounds):
@@ -164,7 +164,7 @@ def fit(words: DataFrame, ends: int, lattice, logp: np.ndarray, rounds: int = 2,
     return logp
 
 
-def score(docs: DataFrame, keep: list[str], path: str | None = None, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, keep: list[str], path: str | None = None, rounds: int = 3) -> DataFrame:
     """Columns ``keep`` of ``docs(text, train, ...)`` with token counts, base and lattice scores."""
     spark = docs.sparkSession
     # Rows in chunks: the words of a chunk are asked for together.

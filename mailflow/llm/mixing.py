@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, stored
+from .common import WORD, cut, sized_broadcast, stored
 
 WEIGHTS = (3, 1, 2)
 
@@ -71,35 +71,35 @@ def mix(docs: DataFrame, size: str = "size", weight: str = "quality", share: flo
     ``epochs`` complete passes take every document; ``extra`` is 1 where the
     fractional pass takes it too; ``taken`` = size * (epochs + extra).
     """
-    sums = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    listed = (sums.withColumn("n", F.row_number().over(order) - 1)
-              .withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("n") % len(WEIGHTS) + 1).cast("int"))))
-    plan = cut(targets(listed, share, max_epochs)
-               .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-               .withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))))
     digits = F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = (docs.withColumn("key", -F.log(u) / F.col(weight))
-             .withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * buckets).cast("int"))
-             .withColumn("src", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))))
-    plan = plan.withColumn("src", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).drop("source")
-    per = keyed.groupBy("src", "bucket").agg(F.sum(size).alias("words"))
-    w = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+             .withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * buckets).cast("int")))
     # At most ``buckets`` rows per source, whatever the number of documents.
+    per = cut(keyed.groupBy("source", "bucket").agg(F.sum(size).alias("words")))
+    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
+    listed = (per.groupBy("source").agg(F.sum("words").alias("source_size"))
+              .withColumn("n", F.row_number().over(order) - 1)
+              .withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("n") % len(WEIGHTS) + 1).cast("int"))))
+    plan = cut(targets(listed, share, max_epochs)
+               .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+               .withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
+               .select(F.col("source").alias("src"), "source_size", "target", "epochs", "rest"))
+    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = cut(per.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
-                 .join(plan.select("src", "source_size", "target", "epochs", "rest"), "src")
+                 .join(plan, F.col("source").eqNullSafe(F.col("src")))
                  .withColumn("side", F.when(F.col("before") + F.col("words") <= F.col("rest"), 1)
-                             .when(F.col("before") >= F.col("rest"), -1).otherwise(0)))
-    placed = keyed.join(ranges, ["src", "bucket"])
+                             .when(F.col("before") >= F.col("rest"), -1).otherwise(0))
+                 .select("src", F.col("bucket").alias("range"), "source_size", "target", "epochs", "rest", "before", "side"))
+    placed = keyed.join(sized_broadcast(ranges, 200_000),
+                        F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("range")))
     clear = placed.where("side <> 0").withColumn("extra", F.when(F.col("side") > 0, 1).otherwise(0))
-    inside = Window.partitionBy("src").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     border = (placed.where("side = 0")
               .withColumn("at", F.col("before") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
               .withColumn("extra", F.when(F.col("at") + F.col(size) / 2 <= F.col("rest"), 1).otherwise(0)).drop("at"))
-    out = clear.unionByName(border)
-    return (out.withColumn("taken", F.col(size) * (F.col("epochs") + F.col("extra")))
-            .drop("src", "bucket", "key", "words", "before", "rest", "side"))
+    return (clear.unionByName(border).withColumn("taken", F.col(size) * (F.col("epochs") + F.col("extra")))
+            .drop("src", "range", "bucket", "key", "before", "rest", "side"))
 
 
 def op7(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, sized_broadcast, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -199,8 +199,8 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` with ``n_*`` and ``base`` of the base rules and ``spans`` of the method."""
     scanned = scan(docs, keep)
     occ = occurrences(scanned)
-    more = discovered(occ, patterns(occ))
-    rows = scanned.drop("edges").join(more, "rid", "left")
+    more = cut(discovered(occ, patterns(occ)))
+    rows = scanned.drop("edges").join(sized_broadcast(more, 20_000), "rid", "left")
     plain = rows.where("more is null").withColumn("spans", F.col("base")).drop("more")
     schema = plain.schema
 

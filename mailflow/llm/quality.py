@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, sized_broadcast, stored
 
 SYMBOLS = b"#*$%&|<>"  # the characters counted as symbols
 STATS = ("x0", "x1", "x2", "x3", "x4", "x5")
@@ -207,10 +207,9 @@ def judge(docs: DataFrame, keep: list[str], confidence: float = 0.99, min_group:
     tagged = fit.join(sizes, "grp").withColumn("g", F.when(F.col("size") >= min_group, F.col("grp")).otherwise("*"))
     est = estimates(tagged.select("g", "n_words", "n_lines", *STATS))
     everyone = cut(estimates(fit.withColumn("g", F.lit("*")))) if _has_small(sizes, min_group) else est
-    pick = est.where("g <> '*'").unionByName(everyone.where("g = '*'"))
-    rows = (m.join(sizes, "grp", "left")
-            .withColumn("g", F.when(F.col("size") >= min_group, F.col("grp")).otherwise("*"))
-            .join(pick, "g", "left"))
+    pick = sizes.withColumn("g", F.when(F.col("size") >= min_group, F.col("grp")).otherwise("*")).join(
+        est.where("g <> '*'").unionByName(everyone.where("g = '*'")), "g").select("grp", "c", "p")
+    rows = m.join(sized_broadcast(cut(pick), 20_000), "grp", "left")
     far = F.coalesce(_distance(), F.lit(0.0))
     return (rows.withColumn("distance", far)
             .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(confidence, D))))

@@ -23,6 +23,7 @@ import struct
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -252,7 +253,7 @@ def encode_documents(docs: DataFrame, keep: list[str], path: str | None = None,
             for t in b["text"]:
                 ids, back = tok.encode_bytes("" if pd.isna(t) else t)
                 row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, list(struct.unpack(f"<{row[0]}I", ids))) if with_ids else row)
+                rows.append((*row, np.frombuffer(ids, "<i4")) if with_ids else row)
             out = b[keep].copy()
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
             for i, c in enumerate(names):
