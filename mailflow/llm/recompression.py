@@ -29,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix
-from .repeats import Anchored, Ranges, covered, marks, repeated_starts
+from .common import mix, stored
+from .repeats import (Anchored, Ranges, asked_rows, covered, flagged, marks, raw_text, repeated_starts, signed,
+                      together, word_hashes)
 
 WINDOW, ROUNDS = 13, 2
-_WORDS = WordHashes()
 _P = np.random.default_rng(9).integers(1, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 _FAR = 1 << 40  # a reach beyond the text: decided by the text's end, so not by words alone
 _NONE = np.zeros(0, np.int64)
@@ -72,41 +72,50 @@ def name_pairs(s: Symbols, turn: int) -> Symbols:
     return Symbols(name, s.start[at], lo, np.maximum(hi, s.hi[at]), joins[at] | s.made[at])
 
 
-def symbols(h: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
-    """The symbols of each round, the words themselves first."""
-    place = np.arange(len(h))
-    out = [Symbols(h, place, place, place + 1, np.zeros(len(h), bool))]
+def symbols(h: np.ndarray, base: np.ndarray, rounds: int = ROUNDS) -> list[Symbols]:
+    """The symbols of each round, the words themselves first.
+
+    Texts lie end to end; a symbol between two texts, unlike any other, keeps
+    them apart, and what it decides has no reach.
+    """
+    gaps = base[1:-1]
+    place = np.insert(np.arange(len(h)), gaps, -1)
+    edge = place < 0
+    name = np.where(edge, mix(np.arange(len(place)).astype(np.uint64) + _P[3]), h[place])
+    out = [Symbols(name, place, np.where(edge, -_FAR, place), np.where(edge, _FAR, place + 1), np.zeros(len(place), bool))]
     for r in range(rounds):
         out.append(name_pairs(name_runs(out[-1]), r + 1))
     return out
 
 
-def anchored(text: str | None) -> Anchored:
-    h = mix(_WORDS.of((text or "").encode("utf-8", "surrogatepass").split()))
-    n = len(h) - WINDOW + 1
-    if n <= 0:
-        return Anchored(_NONE, _NONE, _NONE, _NONE.view(np.uint64), _NONE.view(np.uint64), lambda s: s.view(np.uint64))
-    ranges, starts = Ranges(h), np.arange(n)
-    levels = symbols(h)[1:]
+def anchored(raws: list[bytes]) -> Anchored:
+    h, base = word_hashes(raws)
+    starts = np.concatenate([_NONE, *(np.arange(s, e - WINDOW + 1) for s, e in zip(base[:-1], base[1:]))])
+    if not len(starts):
+        none = _NONE.view(np.uint64)
+        return Anchored(_NONE, _NONE, _NONE, none, none, _NONE, base, lambda s: s.view(np.uint64))
+    ranges, n = Ranges(h), len(h)
+    levels = symbols(h, base)[1:]
     rank = np.concatenate([np.where(s.made, len(levels) - i, len(levels) + 1) for i, s in enumerate(levels, 1)])
     name, start, lo, hi = (np.concatenate([getattr(s, f) for s in levels]) for f in ("name", "start", "lo", "hi"))
-    fits = (lo >= 0) & (hi <= len(h)) & (hi - lo <= WINDOW)
+    fits = np.flatnonzero((lo >= 0) & (hi <= n) & (hi - lo <= WINDOW))
     rank, name, start, lo, hi = (x[fits] for x in (rank, name, start, lo, hi))
-    value = (rank.astype(np.uint64) << np.uint64(60)) | ((mix(name) >> np.uint64(36)) << np.uint64(32)) | np.arange(len(lo), dtype=np.uint64)
-    none = np.iinfo(np.uint64).max
-    best = np.full(n, none, np.uint64)
-    for d in range(WINDOW):
-        s = lo - d
-        ok = (s >= 0) & (s < n) & (s >= hi - WINDOW)
-        np.minimum.at(best, s[ok], value[ok])
-    alone = best == none
-    key = np.where(alone, starts + len(lo), (best & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    # Smallest first: rank, then name, then place; a window takes the first symbol that it holds whole.
+    order = np.lexsort((start, mix(name), rank))[::-1]
+    best = np.full(n, -1, np.int64)
+    room, lo_o = (WINDOW - (hi - lo))[order], lo[order]
+    at = np.repeat(lo_o, room + 1) - (np.arange((room + 1).sum()) - np.repeat(np.cumsum(room + 1) - room - 1, room + 1))
+    who = np.repeat(order, room + 1)
+    ok = at >= 0
+    best[at[ok]] = who[ok]  # of several values for one window the last one, the smallest, stays
+    best = best[starts]
+    key = np.where(best < 0, starts + len(lo), best)
     keys, owner = np.unique(key, return_inverse=True)
     single = keys >= len(lo)
     sym = np.where(single, 0, keys)
     by = np.argsort(owner, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner[by])) + 1])
-    first, last = starts[by][cuts], starts[by][np.concatenate([cuts[1:], [n]]) - 1]
+    first, last = starts[by][cuts], starts[by][np.concatenate([cuts[1:], [len(by)]]) - 1]
     taken = np.bitwise_or.reduceat((np.int64(1) << (starts - first[owner]))[by], cuts).astype(np.uint64)
     if len(lo):
         place = np.where(single, first, start[sym])
@@ -116,38 +125,64 @@ def anchored(text: str | None) -> Anchored:
     else:
         place, cls = first, mix(ranges.of(first, first + WINDOW))
     context = mix(ranges.of(first, last + WINDOW) + mix(taken * _P[2] + (place - first + 1).astype(np.uint64) * _P[3] + cls))
-    return Anchored(starts, owner, place[owner] - starts, cls, context, lambda s: ranges.of(s, s + WINDOW))
+    return Anchored(starts, owner, place[owner] - starts, cls, context, np.searchsorted(base, first, "right") - 1, base,
+                    lambda s: ranges.of(s, s + WINDOW))
+
+
+def _windows(a: Anchored, raws: list[bytes], chosen: np.ndarray, did: np.ndarray) -> pd.DataFrame:
+    pick = np.zeros(len(a.classes), bool)
+    pick[chosen] = True
+    at = np.flatnonzero(pick[a.owner])
+    who = a.owner[at]
+    return pd.DataFrame({"did": did[a.doc[who]], "context": signed(a.contexts[who]),
+                         "offset": a.offset[at].astype(np.int32), "window": signed(a.hashes(a.starts[at]))})
+
+
+def _last_digits(asked: DataFrame) -> DataFrame:
+    """Windows of the contexts in doubt that an earlier document has."""
+    windows = stored(asked_rows(asked, anchored, _windows, "did long, context long, offset int, window long"), "windows")
+    often = windows.groupBy("window").agg(F.min("did").alias("lead"), F.max("did").alias("last")).where("lead < last")
+    return (windows.join(often.select("window", "lead"), "window").where("did > lead")
+            .select("did", "context", F.lit(0).alias("word"), F.expr("shiftleft(1L, offset)").alias("bits")))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
     """Columns ``keep`` (doc_id among them) with the counts and digest of what stays (and ``kept_text``)."""
     names = list(dict.fromkeys([*keep, "text"]))
     rows = docs.select(*names, F.col("doc_id").cast("long").alias("did"))
-    found = marks(rows.select("did", "text").where("did is not null"), anchored, earlier_only=True)
+    found = marks(rows.select("did", "text").where("did is not null"), anchored, True, _last_digits)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    extra = ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema += ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    cols = [*keep, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
 
     def run(batches):
         for b in batches:
-            out = []
-            for t, ctx, *masks in zip(b["text"], b["context"], b["m0"], b["m1"], b["m2"]):
-                t = None if pd.isna(t) else t
-                ws, gone = (t or "").encode("utf-8", "surrogatepass").split(), 0
-                kept = ws
-                if ctx is not None:
-                    starts = repeated_starts(anchored(t), np.asarray(ctx), [np.asarray(m) for m in masks])
-                    if len(starts):
-                        cut = covered(len(ws), starts, WINDOW)
-                        gone, kept = int(cut.sum()), [w for w, c in zip(ws, cut) if not c]
+            raws, out = [raw_text(t) for t in b["text"]], []
+            marked = np.flatnonzero(b["hit"].notna().to_numpy())
+            gone = {}
+            for i, j in together([raws[k] for k in marked]):
+                part = marked[i:j]
+                a = anchored([raws[k] for k in part])
+                lists = list(b["context"].iloc[part]), [list(b[m].iloc[part]) for m in ("m0", "m1", "m2")]
+                cut = covered(a.base[-1], repeated_starts(a, *lists), WINDOW)
+                gone.update((k, cut[s:e]) for k, s, e in zip(part, a.base[:-1], a.base[1:]))
+            for k, raw in enumerate(raws):
+                ws = kept = raw.split()
+                if k in gone:
+                    kept = [w for w, c in zip(ws, gone[k].tolist()) if not c]
                 rest = b" ".join(kept)
-                out.append((len(ws), gone, hashlib.sha256(rest).hexdigest(),
-                            *([rest.decode("utf-8", "replace")] if with_text else [])))
+                out.append((len(ws), len(ws) - len(kept), hashlib.sha256(rest).hexdigest(),
+                            rest.decode("utf-8", "replace") if with_text else None))
             got = b[keep].copy()
-            for i, c in enumerate(["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text):
+            for i, c in enumerate(cols[len(keep):]):
                 got[c] = [r[i] for r in out]
             yield got
 
-    return rows.join(found, "did", "left").drop("did").mapInPandas(run, schema + extra)
+    both = flagged(rows, found)
+    none = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c != "did"]
+    clean = both.where("hit is null").select(*names, "hit", *none)
+    dirty = both.where("hit").join(found, "did").select(clean.columns)
+    return clean.mapInPandas(run, schema).unionByName(dirty.mapInPandas(run, schema))
 
 
 def op9(documents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ content that all its windows cover together, with the set of windows).
 1. Classes that occur once are dropped: their windows are unique.
 2. Anchors with the same context have the same windows: all are repeated.
 3. Only in classes with several contexts windows may be repeated one by one:
-   for one copy of each such context the windows themselves are counted.
+   one copy of each such context goes on, to be settled by ``last_digits``.
 
 Every step is a grouped aggregation with partial sums or a join of two
 shuffled sides, so a class or context that a third of all texts share is
@@ -19,7 +19,7 @@ pre-aggregated or split; no group is gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import mix, sized_broadcast, stored
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -64,21 +64,62 @@ class Ranges:
         return mix((self.sums[end] - self.sums[start]) * down[start])
 
 
+_BYTE = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words start (and the last end)."""
+    raw = np.frombuffer(b"\n".join([b"", *raws, b""]), np.uint8)
+    word = ~_SPACE[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1  # the first and last byte are no word
+    start, end = edge[::2], edge[1::2]
+    texts = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    return Ranges(_BYTE[raw]).of(start, end), np.searchsorted(start, texts)
+
+
 class Anchored(NamedTuple):
-    """Windows of a text by start, and their anchors."""
+    """Windows of some texts laid end to end, by start, and their anchors."""
 
-    starts: np.ndarray  # of each window
-    owner: np.ndarray   # its anchor's number
-    offset: np.ndarray  # of the anchor in the window, below 192
+    starts: np.ndarray    # of each window, among all positions
+    owner: np.ndarray     # its anchor's number
+    offset: np.ndarray    # of the anchor in the window, below 192
     classes: np.ndarray
     contexts: np.ndarray
+    doc: np.ndarray       # the text of each anchor
+    base: np.ndarray      # where each text starts, and where the last ends
     hashes: Callable[[np.ndarray], np.ndarray]  # of windows by start
 
+    def keys(self) -> np.ndarray:
+        """A context together with its text, as one hash."""
+        return text_key(self.contexts, self.doc)
+
+
+Kernel = Callable[[list[bytes]], Anchored]
+TOGETHER = 1 << 18  # bytes of texts handled at once; a longer text is handled alone
 
-Kernel = Callable[[str | None], Anchored]
 
+def text_key(contexts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(contexts.view(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
 
-def _signed(x: np.ndarray) -> np.ndarray:
+
+def raw_text(t) -> bytes:
+    return b"" if t is None or pd.isna(t) else t.encode("utf-8", "surrogatepass")
+
+
+def together(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of about TOGETHER bytes."""
+    start = size = 0
+    for i, r in enumerate(raws):
+        if i > start and size + len(r) > TOGETHER:
+            yield start, i
+            start, size = i, 0
+        size += len(r)
+    if start < len(raws):
+        yield start, len(raws)
+
+
+def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
@@ -86,55 +127,48 @@ def anchor_rows(docs: DataFrame, kernel: Kernel) -> DataFrame:
     """``did, class, context, n`` for each distinct context of each row of ``docs(did, text)``."""
     def run(batches):
         for b in batches:
-            out = []
-            for did, t in zip(b["did"], b["text"]):
-                a = kernel(None if pd.isna(t) else t)
-                if len(a.classes):
-                    ctx, first, n = np.unique(a.contexts, return_index=True, return_counts=True)
-                    out.append((np.full(len(ctx), did), _signed(a.classes[first]), _signed(ctx), n))
-            if out:
-                did, cls, ctx, n = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"did": did, "class": cls, "context": ctx, "n": n.astype(np.int32)})
+            raws, did = [raw_text(t) for t in b["text"]], b["did"].to_numpy()
+            for i, j in together(raws):
+                a = kernel(raws[i:j])
+                _, first, n = np.unique(a.keys(), return_index=True, return_counts=True)
+                first, n = first[(order := np.argsort(first))], n[order]
+                yield pd.DataFrame({"did": did[i:j][a.doc[first]], "class": signed(a.classes[first]),
+                                    "context": signed(a.contexts[first]), "n": n.astype(np.int32)})
 
     return docs.select("did", "text").mapInPandas(run, "did long, class long, context long, n int")
 
 
-def window_rows(docs: DataFrame, kernel: Kernel) -> DataFrame:
-    """``did, context, offset, window`` of the contexts named in ``docs(did, text, contexts)``."""
-    def frame(parts):
-        return pd.DataFrame(dict(zip(("did", "context", "offset", "window"), map(np.concatenate, zip(*parts)))))
+def wanted_anchors(a: Anchored, wanted: list) -> np.ndarray:
+    """One anchor for each wanted context of each text."""
+    sizes = [len(w) for w in wanted]
+    want = text_key(np.concatenate([np.asarray(w, np.int64) for w in wanted]), np.repeat(np.arange(len(sizes)), sizes))
+    keys, first = np.unique(a.keys(), return_index=True)
+    return first[np.isin(keys, want)]
+
 
+def asked_rows(docs: DataFrame, kernel: Kernel, answer, schema: str) -> DataFrame:
+    """``answer(anchored, raws, chosen anchors, did)`` over ``docs(did, text, contexts)``."""
     def run(batches):
         for b in batches:
-            out, size = [], 0
-            for did, t, want in zip(b["did"], b["text"], b["contexts"]):
-                a = kernel(None if pd.isna(t) else t)
-                ctx, first = np.unique(a.contexts, return_index=True)
-                pick = np.zeros(len(a.contexts), bool)  # one anchor of each wanted context
-                pick[first[np.isin(_signed(ctx), np.asarray(want, np.int64))]] = True
-                at = np.flatnonzero(pick[a.owner])
-                out.append((np.full(len(at), did), _signed(a.contexts[a.owner[at]]), a.offset[at].astype(np.int32),
-                            _signed(a.hashes(a.starts[at]))))
-                size += len(at)
-                if size > 500_000:
-                    yield frame(out)
-                    out, size = [], 0
-            if out:
-                yield frame(out)
-
-    return docs.select("did", "text", "contexts").mapInPandas(run, "did long, context long, offset int, window long")
-
-
-def repeated_starts(a: Anchored, contexts: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
-    """Starts of the windows that marks ``context, m0, m1, m2`` name (bit = offset)."""
-    if not len(a.starts) or not len(contexts):
+            raws, did, want = [raw_text(t) for t in b["text"]], b["did"].to_numpy(), list(b["contexts"])
+            for i, j in together(raws):
+                a = kernel(raws[i:j])
+                yield answer(a, raws[i:j], wanted_anchors(a, want[i:j]), did[i:j])
+
+    return docs.select("did", "text", "contexts").mapInPandas(run, schema)
+
+
+def repeated_starts(a: Anchored, contexts: list, masks: list[list]) -> np.ndarray:
+    """Starts of the windows that each text's marks ``context, m0, m1, m2`` name (bit = offset)."""
+    sizes = [len(c) for c in contexts]
+    if not len(a.starts) or not sum(sizes):
         return a.starts[:0]
-    order = np.argsort(contexts, kind="stable")
-    contexts = contexts[order]
-    bits = np.stack([m[order] for m in masks], 1).view(np.uint64)
-    mine = _signed(a.contexts)
-    at = np.minimum(np.searchsorted(contexts, mine), len(contexts) - 1)
-    bits = np.where((contexts[at] == mine)[:, None], bits[at], np.uint64(0))
+    keys = text_key(np.concatenate([np.asarray(c, np.int64) for c in contexts]), np.repeat(np.arange(len(sizes)), sizes))
+    order = np.argsort(keys)
+    bits = np.stack([np.concatenate([np.asarray(x, np.int64) for x in m])[order] for m in masks], 1).view(np.uint64)
+    keys, mine = keys[order], a.keys()
+    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+    bits = np.where((keys[at] == mine)[:, None], bits[at], np.uint64(0))
     word = bits[a.owner, a.offset >> 6]
     return a.starts[((word >> (a.offset & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)]
 
@@ -143,16 +177,26 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n positions lie in a window of ``width`` from one of the starts."""
     step = np.zeros(n + 1, np.int64)
     step[starts] += 1  # starts are distinct
-    step[starts + width] -= 1
+    np.subtract.at(step, starts + width, 1)
     return np.cumsum(step[:-1]) > 0
 
 
-def marks(docs: DataFrame, kernel: Kernel, earlier_only: bool) -> DataFrame:
+def flagged(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``docs`` with ``hit`` (true or null) where ``did`` is in ``ids``.
+
+    Up to ``most`` ids (a long each) are broadcast, so that other texts need
+    not be shuffled; beyond it the texts are shuffled by ``did`` for the join.
+    """
+    return docs.join(sized_broadcast(ids.select("did").withColumn("hit", F.lit(True)), most), "did", "left")
+
+
+def marks(docs: DataFrame, kernel: Kernel, earlier_only: bool, last_digits) -> DataFrame:
     """Marks per ``did``: which windows of which contexts are repeated.
 
     ``docs(did, text)``. With ``earlier_only`` a window is repeated if it also
     occurs under a smaller ``did``; else if it occurs anywhere else, rows with
-    one ``did`` being copies of one text.
+    one ``did`` being copies of one text. ``last_digits(asked)`` settles
+    the windows of contexts in doubt: rows ``did, context, word, bits``.
     """
     rows = stored(anchor_rows(docs, kernel), "anchors")
     if earlier_only:
@@ -171,21 +215,20 @@ def marks(docs: DataFrame, kernel: Kernel, earlier_only: bool) -> DataFrame:
         open_ = (each.groupBy("class").agg(F.count("*").alias("k"), F.min("total").alias("least"))
                  .where("k > 1 and least = 1"))
     doubtful = each.join(open_.select("class"), "class", "left_semi")
-    wanted = doubtful.groupBy("did").agg(F.collect_list("context").alias("contexts"))  # of one text
-    asked = docs.join(wanted, "did")
+    wanted = stored(doubtful.groupBy("did").agg(F.collect_list("context").alias("contexts")), "doubt")  # of one text
+    asked = flagged(docs, wanted).where("hit").join(wanted, "did")
     if not earlier_only:  # rows with one did are copies; one of them is enough
         asked = asked.groupBy("did").agg(F.first("text").alias("text"), F.first("contexts").alias("contexts"))
-    windows = stored(window_rows(asked, kernel), "windows")
-    if earlier_only:
-        often = windows.groupBy("window").agg(F.min("did").alias("lead"), F.max("did").alias("last")).where("lead < last")
-        hit = windows.join(often, "window").where("did > lead")
-    else:
-        often = windows.groupBy("window").agg(F.count("*").alias("k")).where("k > 1")
-        hit = (windows.join(often, "window")
-               .join(each.where("total = 1").select("did", "context"), ["did", "context"], "left_semi"))
-    word = lambda w: F.bit_or(F.when(F.shiftright("offset", 6) == w,
-                                     F.expr("shiftleft(1L, offset % 64)")).otherwise(F.lit(0).cast("long")))
-    some = hit.groupBy("did", "context").agg(*[word(w).alias(f"m{w}") for w in range(3)])
+    some = last_digits(asked)
+    if not earlier_only:  # contexts that occur twice are marked whole below
+        some = some.join(each.where("total = 1").select("did", "context"), ["did", "context"], "left_semi")
+    some = some.groupBy("did", "context").agg(
+        *[F.bit_or(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(3)])
     every = full.select("did", "context", *[F.lit(-1).cast("long").alias(f"m{w}") for w in range(3)])
     got = every.unionByName(some).groupBy("did").agg(F.collect_list(F.struct("context", "m0", "m1", "m2")).alias("x"))
-    return got.select("did", *[F.col(f"x.{c}").alias(c) for c in ("context", "m0", "m1", "m2")])
+    return stored(got.select("did", *[F.col(f"x.{c}").alias(c) for c in ("context", "m0", "m1", "m2")]), "marks")
+
+
+def mark_lists(b: pd.DataFrame, i: int, j: int) -> tuple[list, list[list]]:
+    """Contexts and masks of rows i to j of a batch joined with marks."""
+    return list(b["context"].iloc[i:j]), [list(b[m].iloc[i:j]) for m in ("m0", "m1", "m2")]

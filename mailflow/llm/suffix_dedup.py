@@ -8,9 +8,11 @@ keep the passes small the sort is sparse: a window is represented by the
 suffix at its *anchor*, the smallest (by hash, leftmost) of the ``DIGIT`` = 50
 byte strings in the window. Equal windows have it at the same place, and about
 75 windows in a row share it. The first digit is these 50 bytes, the second
-all the bytes that the anchor's windows cover, the last the single window
-(``repeats`` has the passes). A radix pass groups by the 64-bit hash of a
-digit, which stands for its bytes.
+all the bytes that the anchor's windows cover (``repeats`` has these passes);
+for the few anchors still in doubt, blocks of 8 windows are told apart by
+their 193 common bytes, then by the whole block, then by the single window. A
+radix pass groups by the 64-bit hash of a long digit, which stands for its
+bytes.
 
 Defined results: null counts as the empty text; texts under 200 bytes lose
 nothing; repeated rows lose everything from 200 bytes on, both alike; an empty
@@ -27,10 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
-from .repeats import Anchored, Ranges, covered, marks, repeated_starts
+from .common import mix, stored
+from .repeats import (Anchored, Ranges, asked_rows, covered, flagged, mark_lists, marks, raw_text, repeated_starts,
+                      signed, together)
 
 DEPTH, DIGIT = 200, 50
+BLOCK = 8  # windows that are settled together; their extra bytes fit a long
+CORE = DEPTH - BLOCK + 1
 _SIGN = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.zeros(0, np.int64)
 
@@ -45,58 +50,119 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1:width - 1 + n])
 
 
-def anchored(text: str | None) -> Anchored:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    n = len(raw) - DEPTH + 1
-    if n <= 0:
-        return Anchored(_NONE, _NONE, _NONE, _NONE.view(np.uint64), _NONE.view(np.uint64), lambda s: s.view(np.uint64))
+def anchored(raws: list[bytes]) -> Anchored:
+    base = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+    raw = np.frombuffer(b"".join(raws), np.uint8)
+    starts = np.concatenate([_NONE, *(np.arange(s, e - DEPTH + 1) for s, e in zip(base[:-1], base[1:]))])
+    if not len(starts):
+        none = _NONE.view(np.uint64)
+        return Anchored(_NONE, _NONE, _NONE, none, none, _NONE, base, lambda s: s.view(np.uint64))
     ranges = Ranges(_SIGN[raw])
     places = np.arange(len(raw) - DIGIT + 1)
     digit = ranges.of(places, places + DIGIT)
     low = np.uint64(0xFFFFFFFF)
-    best = sliding_min((digit & ~low) | places.astype(np.uint64), DEPTH - DIGIT + 1)
+    best = sliding_min((digit & ~low) | places.astype(np.uint64), DEPTH - DIGIT + 1)[starts]
     at = (best & low).astype(np.int64)  # the anchor of each window; never moves back
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:], [n]]) - 1
-    anchor, starts = at[first], np.arange(n)
-    owner = np.repeat(np.arange(len(first)), last - first + 1)
-    shape = (anchor - first).astype(np.uint64) * np.uint64(512) + (last - first).astype(np.uint64)
-    context = mix(ranges.of(first, last + DEPTH) + mix(shape + np.uint64(1)))
-    return Anchored(starts, owner, at - starts, digit[anchor], context, lambda s: ranges.of(s, s + DEPTH))
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    count = np.diff(np.concatenate([begin, [len(at)]]))
+    anchor, first = at[begin], starts[begin]
+    last = first + count - 1
+    shape = (anchor - first).astype(np.uint64) * np.uint64(512) + count.astype(np.uint64)
+    context = mix(ranges.of(first, last + DEPTH) + mix(shape))
+    return Anchored(starts, np.repeat(np.arange(len(begin)), count), at - starts, digit[anchor], context,
+                    np.searchsorted(base, first, "right") - 1, base, lambda s: ranges.of(s, s + DEPTH))
+
+
+def _blocks(a: Anchored, raws: list[bytes], chosen: np.ndarray, did: np.ndarray) -> pd.DataFrame:
+    """The chosen anchors' windows in blocks of ``BLOCK`` offsets.
+
+    All windows of a block share its core, ``DEPTH - BLOCK + 1`` bytes; a
+    window adds x bytes on its left and BLOCK - 1 - x on its right. ``left``
+    and ``right`` hold the bytes that the block's windows add, nearest first.
+    """
+    raw = np.concatenate([np.frombuffer(b"".join(raws), np.uint8), np.zeros(DEPTH, np.uint8)])
+    ranges = Ranges(_SIGN[raw])
+    pick = np.zeros(len(a.classes), bool)
+    pick[chosen] = True
+    at = np.flatnonzero(pick[a.owner])
+    owner, off = a.owner[at], a.offset[at]
+    block = off // BLOCK
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])])) if len(at) else _NONE
+    end = np.concatenate([new[1:], [len(at)]]) - 1 if len(at) else _NONE
+    xb, xa, k = off[new] % BLOCK, off[end] % BLOCK, block[new]  # offsets fall as windows move on
+    core = a.starts[at[new]] + off[new] - k * BLOCK  # where the core starts
+    left, right = np.zeros(len(new), np.uint64), np.zeros(len(new), np.uint64)
+    for i in range(BLOCK - 1):
+        byte = raw[np.maximum(core - 1 - i, 0)].astype(np.uint64) << np.uint64(8 * i)
+        left |= np.where(i < xb, byte, np.uint64(0))
+        byte = raw[core + CORE + i].astype(np.uint64) << np.uint64(8 * i)
+        right |= np.where(i < BLOCK - 1 - xa, byte, np.uint64(0))
+    who = owner[new]
+    return pd.DataFrame({
+        "did": did[a.doc[who]], "context": signed(a.contexts[who]),
+        "shape": (k * BLOCK * BLOCK + xa * BLOCK + xb).astype(np.int32),
+        "core": signed(mix(ranges.of(core, core + CORE) + k.astype(np.uint64))), "left": signed(left), "right": signed(right)})
+
+
+def _last_digits(asked: DataFrame) -> DataFrame:
+    """Repeated windows of the contexts in doubt, by core, whole block, then single window."""
+    blocks = stored(asked_rows(asked, anchored, _blocks,
+                               "did long, context long, shape int, core long, left long, right long"), "blocks")
+    shared = blocks.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+    near = stored(blocks.join(shared.select("core"), "core", "left_semi"), "near")
+    unit = ["core", "shape", "left", "right"]
+    units = stored(near.groupBy(*unit).agg(F.count("*").alias("m"), F.min("did").alias("did"),
+                                           F.min("context").alias("context")), "units")
+    first, xa, xb = f"(shape div {BLOCK * BLOCK}) * {BLOCK}", f"(shape div {BLOCK}) % {BLOCK}", f"shape % {BLOCK}"
+    word = F.expr(f"cast(({first}) div 64 as int)").alias("word")
+    whole = (near.join(units.where("m > 1").select(*unit), unit, "left_semi")
+             .select("did", "context", word,
+                     F.expr(f"shiftleft(shiftleft(1L, {xb} + 1) - shiftleft(1L, {xa}), cast(({first}) % 64 as int))").alias("bits")))
+    mixed = units.groupBy("core").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1")
+    single = (units.join(mixed.select("core"), "core", "left_semi")
+              .withColumn("x", F.explode(F.expr(f"sequence({xa}, {xb})")))
+              .select("did", "context", "shape", "m", "core", "x",
+                      F.expr("left & (shiftleft(1L, 8 * x) - 1)").alias("l"),
+                      F.expr(f"right & (shiftleft(1L, 8 * ({BLOCK - 1} - x)) - 1)").alias("r")))
+    window = ["core", "x", "l", "r"]
+    often = single.groupBy(*window).agg(F.count("*").alias("k")).where("k > 1").select(*window)
+    alone = (single.where("m = 1").join(often, window, "left_semi")
+             .select("did", "context", word, F.expr(f"shiftleft(1L, cast(({first}) % 64 as int) + x)").alias("bits")))
+    return whole.unionByName(alone)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
     """Columns ``keep`` with the counts and digest of what stays (and ``kept_bytes``)."""
     names = list(dict.fromkeys([*keep, "text"]))
     rows = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("did"))
-    found = marks(rows.select("did", "text"), anchored, earlier_only=False)
+    found = marks(rows.select("did", "text"), anchored, False, _last_digits)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    extra = ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
+    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
+    cols = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_text
 
     def run(batches):
         for b in batches:
-            out = []
-            for t, ctx, *masks in zip(b["text"], b["context"], b["m0"], b["m1"], b["m2"]):
-                t = None if pd.isna(t) else t
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                gone = 0, 0
-                if ctx is not None:
-                    starts = repeated_starts(anchored(t), np.asarray(ctx), [np.asarray(m) for m in masks])
-                    if len(starts):
-                        cut = covered(len(raw), starts, DEPTH)
-                        gone = int(cut.sum()), int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum())
-                        kept = np.frombuffer(raw, np.uint8)[~cut].tobytes()
-                    else:
-                        kept = raw
-                else:
-                    kept = raw
-                out.append((len(raw), *gone, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+            raws, out = [raw_text(t) for t in b["text"]], []
+            for i, j in together(raws):
+                a = anchored(raws[i:j])
+                cut = covered(a.base[-1], repeated_starts(a, *mark_lists(b, i, j)), DEPTH)
+                for raw, s, e in zip(raws[i:j], a.base[:-1], a.base[1:]):
+                    mine = cut[s:e]
+                    kept = np.frombuffer(raw, np.uint8)[~mine].tobytes()
+                    spans = int(mine[:1].sum()) + int((mine[1:] & ~mine[:-1]).sum())
+                    out.append((len(raw), int(mine.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
             got = b[keep].copy()
-            for i, c in enumerate(["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_text):
+            for i, c in enumerate(cols[len(keep):]):
                 got[c] = [r[i] for r in out]
             yield got
 
-    return rows.join(found, "did", "left").drop("did").mapInPandas(run, schema + extra)
+    both = flagged(rows, found)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    clean = both.where("hit is null").select(
+        *keep, F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([raw.alias("kept_bytes")] if with_text else []))
+    return clean.select(*cols).unionByName(
+        both.where("hit").join(found, "did").drop("did", "hit").mapInPandas(run, schema))
 
 
 def op5(documents: DataFrame) -> DataFrame:
