@@ -142,19 +142,20 @@ def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = False) ->
 
     def run(batches):
         for b in batches:
-            raws, out = [raw_text(t) for t in b["text"]], []
+            raws = [raw_text(t) for t in b["text"]]
             for i, j in together(raws):
-                a = anchored(raws[i:j])
+                a, out = anchored(raws[i:j]), []
                 cut = covered(a.base[-1], repeated_starts(a, *mark_lists(b, i, j)), DEPTH)
                 for raw, s, e in zip(raws[i:j], a.base[:-1], a.base[1:]):
                     mine = cut[s:e]
                     kept = np.frombuffer(raw, np.uint8)[~mine].tobytes()
                     spans = int(mine[:1].sum()) + int((mine[1:] & ~mine[:-1]).sum())
-                    out.append((len(raw), int(mine.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            got = b[keep].copy()
-            for i, c in enumerate(cols[len(keep):]):
-                got[c] = [r[i] for r in out]
-            yield got
+                    out.append((len(raw), int(mine.sum()), spans, hashlib.sha256(kept).hexdigest(),
+                                *([kept] if with_text else [])))
+                got = b[keep].iloc[i:j].copy()
+                for k, c in enumerate(cols[len(keep):]):
+                    got[c] = [r[k] for r in out]
+                yield got
 
     both = flagged(rows, found)
     raw = F.coalesce("text", F.lit("")).cast("binary")
