@@ -10,13 +10,14 @@ by pigeonhole one chunk has at most one error, and the keys of a chunk leave
 out each of its symbols in turn, so such pairs share one of 64 keys.
 
 Candidates are not all pairs of a key. First every member of a key is compared
-with the key's smallest member only; then, with the components of the links
-found so far, members of different components are compared, each key's largest
-component standing on one side. So all links between components are found and
-nothing is compared within one. A pair goes on if its sizes allow the
+with the key's smallest member only: a pair goes on if its sizes allow the
 similarity and its signatures, seen at 4 bits, differ in at most RADIUS
-symbols (fewer bits can only hide differences); it is confirmed on full sets
-of word tuples.
+symbols (fewer bits can only hide differences), and is confirmed on full sets
+of word tuples. Then, with the components of the links found so far, the keys
+that still hold several components are gathered by their largest one, and
+blocks of their members are searched for links between components, through an
+index of their shingles; nothing is compared within a component, and only
+links leave a block.
 
 Defined results: null text, empty text or no word -> empty set, linked with
 nothing; repeated rows are one class; rows that repeat a doc_id are one node,
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, components, mix, stored
 
 WIDTH, K, CHUNKS, RADIUS = 5, 64, 16, 31
+BLOCK = 2048
 _RNG = np.random.default_rng(20240601)
 _A = _RNG.integers(1, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, K, np.uint64)
@@ -179,19 +181,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(checked(stars), "links")
     label = components(links)
-    # What may still link different components: each key's members against those outside its largest one.
+    # What may still link different components: members of keys that hold several.
     tagged = live.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("comp"))
     counts = tagged.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = (counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("k"))
              .where("k > 1").select("key", "main"))
-    open_rows = stored(tagged.join(mixed, "key").join(sides, "node"), "open")
-    x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                   & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _near("x.s", "y.s"))
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = stored(confirm(rest, texts), "links")
+    rest = tagged.join(mixed, "key").groupBy("main", "node").agg(F.min("comp").alias("comp"))
+    more = stored(across(rest, texts), "links")
     label = components(links.unionByName(more))
     named = (classes.select("digest", "node").join(label.withColumnRenamed("id", "node"), "node", "left")
              .select("digest", F.coalesce("component", "node").alias("component_id")))
@@ -201,6 +198,65 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def across(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components among the nodes of each group ``main``.
+
+    ``rest(main, node, comp)``: a group holds all nodes that share a key with
+    the group's largest component, ``main``. Its nodes outside ``main`` ask,
+    all its nodes answer, in blocks of about ``BLOCK`` by ``BLOCK``, so no group
+    has to fit one task; a block returns at most one link for each asking node
+    and answering component.
+    """
+    sizes = stored(rest.groupBy("main").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.sum((F.col("comp") != F.col("main")).cast("long")) / BLOCK).cast("int").alias("parts")), "groups")
+    rows = rest.join(sizes, "main")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    answer = (rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .withColumn("part", upto("parts")).withColumn("asks", F.lit(False)))
+    ask = (rows.where("comp <> main").withColumn("block", upto("blocks"))
+           .withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("asks", F.lit(True)))
+    cols = ["main", "block", "part", "asks", "node", "comp"]
+    dealt = answer.select(*cols).unionByName(ask.select(*cols)).join(texts, "node")
+
+    def search(g):
+        asking, there = g[g["asks"]], g[~g["asks"]]
+        pairs = links_between(asking["text"].tolist(), asking["comp"].to_numpy(), there["text"].tolist(), there["comp"].to_numpy())
+        a, b = asking["node"].to_numpy(), there["node"].to_numpy()
+        return pd.DataFrame([(min(a[i], b[j]), max(a[i], b[j])) for i, j in pairs], columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("main", "block", "part").applyInPandas(search, "a long, b long")
+
+
+def links_between(texts: list, comps: np.ndarray, others: list, other_comps: np.ndarray) -> list[tuple[int, int]]:
+    """Linked (text, other) of different components, one per text and component.
+
+    Common shingles are counted over an index of the others' shingle hashes;
+    a link is confirmed on full sets.
+    """
+    if not texts or not others:
+        return []
+    sets = [shingle_hashes(words_of(t)) for t in others]
+    size = np.array([len(x) for x in sets])
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    out = []
+    for i, t in enumerate(texts):
+        mine = shingle_hashes(words_of(t))
+        low, high = np.searchsorted(shingle, mine), np.searchsorted(shingle, mine, "right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        both = np.bincount(owner[at], minlength=len(sets))
+        found = np.flatnonzero((100 * both >= 75 * (len(mine) + size - both)) & (other_comps != comps[i]))
+        done: set[int] = set()
+        for j in found.tolist():
+            if other_comps[j] not in done and similar(shingles(words_of(t)), shingles(words_of(others[j]))):
+                done.add(other_comps[j])
+                out.append((i, j))
+    return out
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text per node, for the nodes that have a candidate."""
     wanted = nodes.select("node", "tk")
