@@ -33,7 +33,7 @@ _scratch: list[str] | None = None  # paths to give back, while a scratch scope i
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if _scratch is not None:
         _scratch.append(path)
     return df.sparkSession.read.parquet(path)

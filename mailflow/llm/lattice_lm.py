@@ -36,9 +36,10 @@ from .common import crc_mod, mix, stored
 from .repeats import POWERS
 from .sentencepiece_bpe import SPACE, model_path, read_pieces
 
-CHUNK_ROWS = 1024
+CHUNK_ROWS = 4096
 LOG10E = np.log10(np.e)
 FRONT = SPACE.encode()
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,57 +47,74 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Lattice:
-    """Pieces by content hash, with their log probabilities; the last entry is the end."""
+    """Pieces found by content hash; the last probability of a model is that of a text's end."""
+
+    SLOTS = 17
 
     def __init__(self, pieces: list[bytes]):
-        self.longest = max(map(len, pieces))
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted(set(map(len, pieces))):
-            at = np.array([i for i, p in enumerate(pieces) if len(p) == n])
-            x = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(len(at), n)
-            h = _range_hash(_prefix(x), 0, n)
-            order = np.argsort(h)
-            self.by_length[n] = h[order], at[order]
         self.size = len(pieces) + 1
-
-    def edges(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """For words of one length (rows of bytes): start, end and piece (-1: none) of each edge, by end."""
-        sums, width = _prefix(x), x.shape[1]
-        for end in range(1, width + 1):
-            for n, (keys, ids) in self.by_length.items():
-                if n > end:
-                    break
-                h = _range_hash(sums, end - n, end)
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                yield end - n, end, np.where(keys[at] == h, ids[at], -1)
-
-    def _found(self, x, logp) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        out = []
-        for s, e, piece in self.edges(x):
-            if (piece >= 0).any():
-                out.append((s, e, piece, np.where(piece >= 0, logp[piece], -np.inf)))
+        self.lengths = sorted(set(map(len, pieces)))
+        hashes = np.zeros(len(pieces), np.uint64)
+        for n in self.lengths:
+            at = [i for i, p in enumerate(pieces) if len(p) == n]
+            hashes[at] = _range_hash(_prefix(np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(len(at), n)), 0, n)
+        # Hash tables; what finds its slot taken goes to the next table.
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        left = np.arange(len(pieces))
+        while len(left):
+            slot = self._slot(hashes[left], len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            keys, ids = np.zeros(1 << self.SLOTS, np.uint64), np.full(1 << self.SLOTS, -1, np.int32)
+            keys[slot[first]], ids[slot[first]] = hashes[left[first]], left[first]
+            self.tables.append((keys, ids))
+            left = np.delete(left, first)
+
+    def _slot(self, h: np.ndarray, table: int) -> np.ndarray:
+        return ((h * (_ODD + np.uint64(2 * table))) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1."""
+        out = np.full(h.shape, -1, np.int32)
+        for t, (keys, ids) in enumerate(self.tables):
+            slot = self._slot(h, t)
+            out = np.where(keys[slot] == h, ids[slot], out)
         return out
 
-    def forward(self, x: np.ndarray, logp: np.ndarray, found=None) -> np.ndarray:
-        """Log marginal probability of every prefix of each word, by length."""
+    def forward(self, x: np.ndarray, logp: np.ndarray, edges: list | None = None) -> np.ndarray:
+        """Log marginal probability of words of one length (rows of bytes), over all segmentations.
+
+        Goes through the prefixes in log space. ``edges`` collects for each
+        end: the starts, the pieces and each edge's share of the prefix.
+        """
+        sums, known = _prefix(x), np.append(logp, -np.inf)  # piece -1 has no probability
         alpha = np.full((x.shape[1] + 1, len(x)), -np.inf)
         alpha[0] = 0
-        for s, e, _, lp in self._found(x, logp) if found is None else found:
-            np.logaddexp(alpha[e], alpha[s] + lp, out=alpha[e])
-        return alpha
+        for end in range(1, x.shape[1] + 1):
+            starts = [end - n for n in self.lengths if n <= end]
+            piece = self.find(np.stack([_range_hash(sums, s, end) for s in starts]))
+            ways = alpha[starts] + known[piece]
+            most = ways.max(axis=0)
+            share = np.exp(ways - np.where(np.isfinite(most), most, 0))
+            total = share.sum(axis=0)
+            with np.errstate(divide="ignore"):
+                alpha[end] = most + np.log(total)
+            if edges is not None:
+                edges.append((starts, piece, share / np.where(total > 0, total, 1)))
+        return alpha[-1]
 
     def expected(self, x: np.ndarray, weight: np.ndarray, logp: np.ndarray, total: np.ndarray) -> None:
         """Adds the expected uses of each piece in words x, each seen ``weight`` times."""
-        found = self._found(x, logp)
-        alpha = self.forward(x, logp, found)
-        beta = np.full_like(alpha, -np.inf)
-        beta[-1] = 0
-        for s, e, _, lp in reversed(found):
-            np.logaddexp(beta[s], beta[e] + lp, out=beta[s])
-        for s, e, piece, lp in found:
+        edges: list = []
+        self.forward(x, logp, edges)
+        passes = np.zeros((x.shape[1] + 1, len(x)))  # expected passes through each prefix
+        passes[-1] = weight
+        for end in range(x.shape[1], 0, -1):
+            starts, piece, share = edges[end - 1]
+            use = share * passes[end]
+            for s, u in zip(starts, use):
+                passes[s] += u
             ok = piece >= 0
-            use = np.exp(alpha[s] + lp + beta[e] - alpha[-1])[ok] * weight[ok]
-            total += np.bincount(piece[ok], use, self.size)
+            total += np.bincount(piece[ok], use[ok], self.size)
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
@@ -130,7 +148,7 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
     """
     ranks: dict[bytes, int] = {}
     pieces = read_pieces(path or model_path())
-    normal = [p for p, _, k in pieces if k in (1, 4)]
+    normal = [p for p, _, k in pieces if k in (1, 4) and p.encode().lower() == p.encode()]  # texts are lower-cased
     for r, p in enumerate(p for p in normal if p == SPACE or p.strip(SPACE)):
         ranks.setdefault(p.encode(), r)
     for i in range(256):
@@ -202,10 +220,10 @@ def score(docs: DataFrame, keep: list[str], path: str | None = None, rounds: int
         for b in batches:
             ws, out = list(b["word"]), np.zeros(len(b))
             for at, x in by_length(ws):
-                out[at] = lattice.value.forward(x, model.value)[-1]
-            yield pd.DataFrame({"word": b["word"], "c": b["c"], "lp": out * LOG10E})
+                out[at] = lattice.value.forward(x, model.value)
+            yield pd.DataFrame({"word": b["word"], "c": b["c"], "lp": (out * LOG10E).astype(np.float32)})
 
-    scored = stored(words.mapInPandas(marginal, "word binary, c long, lp double"), "lm-scored")
+    scored = stored(words.mapInPandas(marginal, "word binary, c long, lp float"), "lm-scored")
     answers = asked.select("word", "chunk").join(scored, "word").select("chunk", "word", "c", "lp")
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     end = float(base_of(ends)), float(logp[-1] * LOG10E)
