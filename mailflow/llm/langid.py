@@ -76,7 +76,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of the whole text and how often each occurs."""
     total = np.zeros(BUCKETS, np.int64)
     for c in _blocks(code_points(text or "")):
-        for _, b in ngram_buckets(c):
+        for _, b in ngram_buckets(np.pad(c, 1)):
             total += np.bincount(b, minlength=BUCKETS)
     at = np.flatnonzero(total)
     return at, total[at]
@@ -99,10 +99,11 @@ class Model:
         def flush() -> None:
             nonlocal group, owner, size
             if group:
-                starts = np.cumsum([0, *(len(g) + 1 for g in group[:-1])])
+                # Each text has a border of its own on either side.
+                starts = np.cumsum([0, *(len(g) + 2 for g in group[:-1])])
                 c = np.zeros(size, np.uint32)
                 for s, g in zip(starts, group):
-                    c[s:s + len(g)] = g
+                    c[s + 1:s + 1 + len(g)] = g
                 for at, b in ngram_buckets(c):
                     cuts = np.searchsorted(at, [*starts, size])
                     sizes = np.diff(cuts)
@@ -119,7 +120,7 @@ class Model:
                     flush()
                 group.append(c)
                 owner.append(i)
-                size += len(c) + 1
+                size += len(c) + 2
         flush()
         for s, n in zip(sums, counts):
             if not n or not self.classes:
