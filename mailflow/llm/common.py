@@ -77,7 +77,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word bytes -> 64-bit hash; emptied when full, so its memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -34,8 +34,8 @@ START = (1 << 20) - 1  # stands for the piece before the first
 class Tokenizer:
     """Pieces of a model with the identity normaliser, and the prefix-table encoder."""
 
-    SEGMENTS = 300_000
-    PAIRS = 1_000_000
+    SEGMENTS = 120_000
+    PAIRS = 400_000
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         # piece types: 1 normal, 2 unknown, 3 control, 4 user defined, 6 byte
@@ -248,17 +248,18 @@ def encode_documents(docs: DataFrame, keep: list[str], path: str | None = None,
 
     def run(batches):
         tok = _tokenizer(pieces.value)
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                ids, back = tok.encode_bytes("" if pd.isna(t) else t)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, np.frombuffer(ids, "<i4")) if with_ids else row)
-            out = b[keep].copy()
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-            for i, c in enumerate(names):
-                out[c] = [r[i] for r in rows]
-            yield out
+        for whole in batches:
+            for i in range(0, len(whole), 256):  # results leave the worker in small pieces
+                b, rows = whole.iloc[i:i + 256], []
+                for t in b["text"]:
+                    ids, back = tok.encode_bytes("" if pd.isna(t) else t)
+                    row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest())
+                    rows.append((*row, np.frombuffer(ids, "<i4")) if with_ids else row)
+                out = b[keep].copy()
+                names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+                for k, c in enumerate(names):
+                    out[c] = [r[k] for r in rows]
+                yield out
 
     text = [] if "text" in keep else ["text"]
     return docs.select(*keep, *text).mapInPandas(run, schema + extra)
