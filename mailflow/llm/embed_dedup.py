@@ -146,14 +146,15 @@ def near_vectors(table: DataFrame, vec: str = "embedding", cosine: float = 0.98,
     dims = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()["d"]
     classes = classes.where(F.size("v") == dims)
     picked = classes.orderBy(F.xxhash64("v", F.lit(seed)), "rep").limit(sample).select("v").toPandas()
-    lists = int(min(4096, max(1, n // 256), len(picked)))
+    lists = int(min(4096, max(1, n // 8192), len(picked)))
     index = spark.sparkContext.broadcast(Index(unit(picked["v"])[1], lists, seed))
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     label_type = classes.schema["label"].dataType.simpleString()
 
     def place(batches):
-        for b in batches:
-            if len(b):
+        for whole in batches:
+            for i in range(0, len(whole), 512):  # a vector may visit many lists
+                b = whole.iloc[i:i + 512]
                 x = unit(b["v"])[1]
                 home = index.value.home(x)
                 at, to = index.value.probes(x, home, radius)
