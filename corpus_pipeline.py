@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailflow.llm import minhash, mixing, pii, quality, sentencepiece_bpe
-from mailflow.llm.common import free, scratch_scope
+from mailflow.llm.common import bounded_batches, free, scratch_scope
 from mailflow.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,6 +32,7 @@ _tables: list[str] = []
 def _stage(fn: Callable[[DataFrame], DataFrame]) -> Stage:
     """Frees the scratch tables of the stage before, whose result has been written by then."""
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         if not any(t in f for f in docs.inputFiles() for t in _tables):
             free(spark, _tables)
         with scratch_scope(_tables):

@@ -56,6 +56,15 @@ def free(spark: SparkSession, paths: list[str]) -> None:
         spark.createDataFrame([], "freed int").coalesce(1).write.mode("overwrite").parquet(paths.pop())
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of an Arrow batch for the jobs that follow in this session.
+
+    A batch is held several times over: in the JVM, in the worker as Arrow and
+    as pandas, and beside its result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
     """``df`` hinted for broadcast if a count shows at most ``most`` rows, else as it is (shuffled)."""
     return F.broadcast(df) if df.count() <= most else df

@@ -195,12 +195,17 @@ def _merge(base: str, more) -> str:
     return _joined({split(x) for x in [*filter(None, base.split(",")), *more]})
 
 
-def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with ``n_*`` and ``base`` of the base rules and ``spans`` of the method."""
+def _searched(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with ``n_*``, ``base`` and the accepted candidates ``more`` (null: none)."""
     scanned = scan(docs, keep)
     occ = occurrences(scanned)
     more = cut(discovered(occ, patterns(occ)))
-    rows = scanned.drop("edges").join(sized_broadcast(more, 20_000), "rid", "left")
+    return scanned.drop("edges").join(sized_broadcast(more, 20_000), "rid", "left").drop("rid")
+
+
+def find(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with ``n_*`` and ``base`` of the base rules and ``spans`` of the method."""
+    rows = _searched(docs, keep)
     plain = rows.where("more is null").withColumn("spans", F.col("base")).drop("more")
     schema = plain.schema
 
@@ -209,7 +214,7 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
             b["spans"] = [_merge(x, m) for x, m in zip(b["base"], b["more"])]
             yield b[[f.name for f in schema]]
 
-    return plain.unionByName(rows.where("more is not null").mapInPandas(run, schema)).drop("rid")
+    return plain.unionByName(rows.where("more is not null").mapInPandas(run, schema))
 
 
 def redact_text(text: str, spans: str) -> str:
@@ -227,19 +232,20 @@ def redact_text(text: str, spans: str) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """The same columns, with the personal data in ``text`` replaced."""
     cols = docs.columns
-    found = find(docs, cols)
+    rows = _searched(docs, cols)
     schema = docs.schema
 
     def run(batches):
         for b in batches:
-            b["text"] = [t if pd.isna(t) or not s else redact_text(t, s) for t, s in zip(b["text"], b["spans"])]
+            spans = [_merge(x, m) for x, m in zip(b["base"], b["more"])]
+            b["text"] = [t if pd.isna(t) else redact_text(t, s) for t, s in zip(b["text"], spans)]
             if "n_chars" in cols:
                 b["n_chars"] = [n if pd.isna(t) else len(t) for n, t in zip(b["n_chars"], b["text"])]
             yield b[cols]
 
-    dirty = F.col("spans") != ""
-    return (found.where(~dirty).select(*cols)
-            .unionByName(found.where(dirty).select(*cols, "spans").mapInPandas(run, schema)))
+    dirty = (F.col("base") != "") | F.col("more").isNotNull()
+    return (rows.where(~dirty).select(*cols)
+            .unionByName(rows.where(dirty).select(*cols, "base", "more").mapInPandas(run, schema)))
 
 
 def op8(documents: DataFrame) -> DataFrame:
