@@ -41,14 +41,27 @@ def sender_filter(landed: DataFrame, address: str, col: str = "remetente") -> Da
     return landed.filter(F.lower(address_part(col)) == F.lit(address.lower()))
 
 
+def identified(landed: DataFrame) -> DataFrame:
+    """a message without an id gets one made from its content.
+
+    Messages without an id that agree in sender, subject, time and body are
+    copies; all others stay apart.
+    """
+    content = [F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+               for c in ("remetente", "assunto", "recebido_em", "corpo_email") if c in landed.columns]
+    made = F.concat(F.lit("<hash-"), F.sha2(F.concat_ws("\x1f", *content), 256), F.lit(">"))
+    return landed.withColumn("message_id", F.coalesce(F.col("message_id"), made))
+
+
 def new_messages(landed: DataFrame, existing: DataFrame, address: str) -> DataFrame:
     """J7 + N1: accepted messages not yet stored, first occurrence per id.
 
+    Messages without an id are told apart by content (``identified``).
     The first occurrence per ``message_id`` is an aggregate (min over seq), so
     a message id repeated across a third of the mailbox is reduced map-side.
     ``remetente`` becomes the bare address, the body is stripped.
     """
-    accepted = sender_filter(landed, address)
+    accepted = sender_filter(identified(landed), address)
     accepted = accepted.withColumn("remetente", address_part("remetente")) \
                        .withColumn("corpo_email", strip_text("corpo_email"))
     first = first_per_key(accepted, "message_id", [F.col("seq")])
@@ -94,7 +107,9 @@ def outcomes(landed: DataFrame, existing: DataFrame, address: str,
              parse_error: str | None = None) -> DataFrame:
     """Per-message outcome: ignorado (sender), falha (parse error), duplicado
     (id stored before, or seen earlier in the pass), salvo."""
-    firsts = first_per_key(sender_filter(landed, address).select("message_id", "seq"),
+    landed = identified(landed)
+    parsed = landed.where(F.col(parse_error).isNull()) if parse_error else landed
+    firsts = first_per_key(sender_filter(parsed, address).select("message_id", "seq"),
                            "message_id", [F.col("seq")]).withColumnRenamed("seq", "_first")
     known = existing.select("message_id").distinct().withColumn("_known", F.lit(True))
     m = landed.join(firsts, "message_id", "left").join(known, "message_id", "left")
@@ -107,21 +122,23 @@ def outcomes(landed: DataFrame, existing: DataFrame, address: str,
     return m.select("seq", "message_id", outcome.alias("resultado"))
 
 
-def summary(landed: DataFrame, existing: DataFrame, address: str) -> DataFrame:
+def summary(landed: DataFrame, existing: DataFrame, address: str,
+            parse_error: str | None = None) -> DataFrame:
     """A4: saved, duplicates, failures (+ ignored senders, which the original
     counted nowhere) -- computed from aggregates, no per-message join."""
     acc = F.lower(address_part("remetente")) == F.lit(address.lower())
-    counts = landed.agg(F.count(F.lit(1)).alias("_total"),
-                        F.count(F.when(acc, F.lit(1))).alias("_acc"),
-                        F.lit(None).cast("long").alias("_saved"))
-    saved = new_messages(landed, existing, address).agg(
-        F.lit(None).cast("long").alias("_total"), F.lit(None).cast("long").alias("_acc"),
-        F.count(F.lit(1)).alias("_saved"))
+    failed = F.col(parse_error).isNotNull() if parse_error else F.lit(False)
+    none = F.lit(None).cast("long")
+    counts = landed.agg(F.count(F.when(~failed, F.lit(1))).alias("_total"),
+                        F.count(F.when(acc & ~failed, F.lit(1))).alias("_acc"),
+                        F.count(F.when(failed, F.lit(1))).alias("_failed"), none.alias("_saved"))
+    saved = new_messages(landed.where(~failed), existing, address).agg(
+        none.alias("_total"), none.alias("_acc"), none.alias("_failed"), F.count(F.lit(1)).alias("_saved"))
     # Two one-row aggregates folded into one row (no join needed).
-    out = counts.unionByName(saved).agg(*[F.max(c).alias(c) for c in ("_total", "_acc", "_saved")])
+    out = counts.unionByName(saved).agg(*[F.max(c).alias(c) for c in ("_total", "_acc", "_failed", "_saved")])
     return out.select(F.col("_saved").alias("salvos"),
                       (F.col("_acc") - F.col("_saved")).alias("duplicados"),
-                      F.lit(0).cast("long").alias("falhas"),
+                      F.col("_failed").alias("falhas"),
                       (F.col("_total") - F.col("_acc")).alias("ignorados"))
 
 

@@ -5,13 +5,8 @@ table = target rows updated from the source + source rows whose key is new.
 The caller writes the result to a new location (``sinks.tables``); never read
 and overwrite one path in the same job.
 
-Scale: the source is normally far smaller than the target. The update is a
-LEFT join of the target with the source, which AQE turns into a broadcast
-hash join at run time when the measured source size is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` (a checked size), and keeps
-a sort-merge join otherwise. New keys are found by reducing the target's key
-column to the source keys first, so the big side is never fully shuffled for
-the insert branch.
+Scale: one join on the key reads the target and the source once each; the
+source is reduced to one row per key before it, partly map-side.
 """
 
 from __future__ import annotations
@@ -65,31 +60,36 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: list[str
       ``insert_only_when`` limits which source rows may insert. Columns not
       given by the source are NULL; ``key_col``/``new_key`` generate a
       surrogate key for inserted rows.
-    * The source must hold one row per key (see ``last_per_key``).
+    * The source must hold one row per key (see ``last_per_key``); a repeated
+      key fails the job.
+
+    One join reads either side once: full outer, or left for update-only.
     """
     src = source.select(key, *update_cols, *( [insert_only_when.alias("_may_insert")]
                                               if insert_only_when is not None else []))
-    s = src.select(F.col(key).alias("_skey"), *[F.col(c).alias("_s_" + c) for c in update_cols],
-                   F.lit(True).alias("_hit"))
-    joined = target.join(s, target[key] == s["_skey"], "left")
-    hit = F.col("_hit").isNotNull()
-    updated = joined.select(*[
-        (F.when(hit, F.col("_s_" + c)).otherwise(F.col(c)) if c in update_cols else F.col(c))
-        .cast(target.schema[c].dataType).alias(c)
-        for c in target.columns])
-    if not insert:
-        return updated
-    existing = target.select(key).join(src.select(key), key, "left_semi").distinct()
-    fresh = src.join(existing, key, "left_anti")
-    if insert_only_when is not None:
-        fresh = fresh.filter(F.col("_may_insert"))
-    if new_key is not None and key_col is not None:
-        fresh = fresh.withColumn(key_col, new_key)
-    have = set(fresh.columns)
-    inserted = fresh.select(*[
-        (F.col(c) if c in have else F.lit(None)).cast(target.schema[c].dataType).alias(c)
-        for c in target.columns])
-    return updated.unionByName(inserted)
+    one = src.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
+                               F.first(F.struct(*[c for c in src.columns if c != key])).alias("_new"))
+    old = target.select(F.struct(*target.columns).alias("_old"), F.col(key).alias("_tkey"))
+    both = old.join(one, old["_tkey"] == one[key], "full_outer" if insert else "left")
+    both = both.select("_old", "_n", key, *[F.col("_new")[c].alias(c) for c in src.columns if c != key])
+    found, hit = F.col("_old").isNotNull(), F.col("_n").isNotNull()
+    wanted = found if insert_only_when is None else found | F.coalesce(F.col("_may_insert"), F.lit(False))
+    if insert_only_when is None and insert:
+        wanted = F.lit(True)
+    repeated = F.raise_error(F.concat(F.lit(f"upsert: more than one source row for {key} "), F.col(key).cast("string")))
+    both = both.where(F.when(F.col("_n") > 1, repeated.cast("boolean")).otherwise(wanted))
+
+    def value(c: str) -> Column:
+        was = F.col("_old")[c]
+        if c in update_cols:
+            return F.when(hit, F.col(c)).otherwise(was)
+        if c == key:
+            return F.when(found, was).otherwise(F.col(key))
+        if c == key_col and new_key is not None:
+            return F.when(found, was).otherwise(new_key)
+        return was
+
+    return both.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
 
 
 def append_new(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:

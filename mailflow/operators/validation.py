@@ -16,7 +16,7 @@ from ..functions.classify import formal_rules
 from ..functions.extract import extract_fields
 from ..functions.verdict import fields_json, parse_verdict, route_verdict, verdict_prompt
 from .boards import attachment_names, validation_backlog
-from .upsert import append_new, conform_to, upsert
+from .upsert import append_new, conform_to, last_per_key, upsert
 
 REPLY_UPDATE_COLS = ["tipo_resposta", "processo", "opaj", "coerente", "erros", "identificador",
                      "status", "status_validacao", "validado", "nomes_anexos", "resumo_ia",
@@ -36,9 +36,13 @@ def backlog_requests(emails: DataFrame, protocolos: DataFrame, anexos: DataFrame
               .withColumn("prompt", verdict_prompt())
 
 
-def verdicts_from_text(requests: DataFrame, texts: DataFrame) -> DataFrame:
-    """Parse scorer output ``(id_email, conteudo)`` for each request."""
-    return parse_verdict(requests.join(texts.select("id_email", "conteudo"), "id_email", "inner"),
+def verdicts_from_text(requests: DataFrame, texts: DataFrame, order: str = "conteudo") -> DataFrame:
+    """Parse scorer output ``(id_email, conteudo)`` for each request.
+
+    Of several texts for one mail the last by ``order`` counts.
+    """
+    last = last_per_key(texts.select("id_email", "conteudo", F.col(order).alias("_at")), "id_email", ["_at"])
+    return parse_verdict(requests.join(last.select("id_email", "conteudo"), "id_email", "inner"),
                          "conteudo").drop("conteudo")
 
 

@@ -60,15 +60,4 @@ ATTACHMENT_PART = T.StructType([
 
 PARSED_MAIL = _schema(("path", S), ("message_id", S), ("remetente", S), ("assunto", S),
                       ("recebido_em_raw", S), ("corpo_email", S),
-                      ("anexos", T.ArrayType(ATTACHMENT_PART)), ("erro_parse", S))
-
-# Fixed values of the data model: status and type vocabularies.
-STATUS_PENDING = "pending"
-STATUS_INVALID = "invalid"
-STATUS_FILED = "protocolado"
-STATUS_CANCELLED = "cancelado"
-CLOSED_STATUSES = ("protocolado", "cancelado")
-FILEABLE_STATUSES = ("pending", "invalid", "incompleto", "revisao")
-MAIL_TYPES = ("protocolo", "cancelamento", "comunicacao", "outro")
-QUALITY_NO_ATTACHMENT = "sem_anexo"
-QUALITY_BAD_BODY = "fora_do_padrao"
+                      ("anexos", T.ArrayType(ATTACHMENT_PART)), ("erro_parse", S), ("conteudo_sha256", S))

@@ -37,8 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                        str(shuffle_partitions or int(cpus))))
     conf = {**BASE_CONF, **(extra or {})}
     if "spark.checkpoint.dir" not in conf and not _active_checkpoint_dir():
-        # Local runs only: a cluster names its shared folder itself.
-        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="mailflow-ckpt-")
+        conf["spark.checkpoint.dir"] = _local_folder(master or f"local[{cpus}]")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -52,17 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the operator of the cluster sets it to shared storage and we
     only read it. When it is unset (local tests), a private scratch folder is
-    created and registered; this fallback is never meant for a cluster.
+    created and registered; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="mailflow-ckpt-")
+        path = _local_folder(sc.master)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def _local_folder(master: str) -> str:
+    """A private folder for local runs; executors elsewhere would not see it."""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    return tempfile.mkdtemp(prefix="mailflow-ckpt-")
+
+
 def _active_checkpoint_dir() -> str | None:
     active = SparkSession.getActiveSession()
     if active is None:

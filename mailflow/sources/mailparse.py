@@ -8,6 +8,7 @@ distribution, retries and partitioning left to Spark.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 from pyspark import cloudpickle
@@ -58,9 +59,13 @@ def _is_attachment(part) -> bool:
 
 def _body_part(msg):
     """The body: first non-attachment text/plain part, else text/html."""
-    found = {}
-    for part in msg.walk():
-        if part.is_multipart() or _is_attachment(part):
+    found, todo = {}, [msg]
+    while todo:
+        part = todo.pop()
+        if _is_attachment(part) or part.get_content_maintype() == "message":
+            continue  # a forwarded message is no body, nor is anything inside an attachment
+        if part.is_multipart():
+            todo += reversed(part.get_payload())
             continue
         ct = part.get_content_type()
         if ct in BODY_TYPES and ct not in found:
@@ -103,7 +108,7 @@ def _parse_one(path: str, content: bytes) -> dict:
                       "tipo_arquivo": part.get_content_type(),
                       "conteudo": part.get_payload(decode=True) or b""})
     mid = msg.get("Message-ID")
-    return {"path": path, "message_id": str(mid).strip() if mid else None, "remetente": addr,
+    return {"path": path, "message_id": (str(mid).strip() or None) if mid else None, "remetente": addr,
             "assunto": _decode(msg.get("Subject", "")),
             "recebido_em_raw": str(msg.get("Date", "")).strip(),
             "corpo_email": body, "anexos": parts, "erro_parse": None}
@@ -113,13 +118,14 @@ def _parse_batches(batches, cols):
     import pandas as pd
     for pdf in batches:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, content in zip(pdf["path"], map(bytes, pdf["content"])):
             try:
-                rows.append(_parse_one(path, bytes(content)))
+                rows.append(_parse_one(path, content))
             except Exception as exc:  # noqa: BLE001 - the outcome is a column
                 rows.append({"path": path, "message_id": None, "remetente": None,
                              "assunto": None, "recebido_em_raw": None, "corpo_email": None,
                              "anexos": [], "erro_parse": f"{type(exc).__name__}: {exc}"})
+            rows[-1]["conteudo_sha256"] = hashlib.sha256(content).hexdigest()
         yield pd.DataFrame(rows, columns=cols)
 
 
@@ -135,9 +141,9 @@ def parse_raw_mail(raw: DataFrame) -> DataFrame:
 
 def with_fallback_id(parsed: DataFrame) -> DataFrame:
     """a missing Message-ID becomes a content-derived id (stable across
-    runs, unlike a mailbox position)."""
+    runs and folders, unlike a mailbox position)."""
     return parsed.withColumn("message_id", F.coalesce(
-        F.col("message_id"), F.concat(F.lit("<hash-"), F.sha2(F.col("path"), 256), F.lit(">"))))
+        F.col("message_id"), F.concat(F.lit("<hash-"), F.col("conteudo_sha256"), F.lit(">"))))
 
 
 def render_raw_mail(landed: DataFrame, parts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ batch write nothing twice, so a lost executor or a restarted query is safe.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,12 @@ def is_paused(flags: DataFrame, key: str = "pausar_pipeline") -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str, template: DataFrame) -> DataFrame:
+    """The store; empty if nothing was stored yet. Any other failure to read it is raised."""
     try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
+        return spark.read.schema(template.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return template.limit(0)
 
 
