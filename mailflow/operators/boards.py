@@ -167,9 +167,13 @@ def attachment_counts(anexos: DataFrame) -> DataFrame:
 
 
 def with_attachment_count(rows: DataFrame, anexos: DataFrame, max_rows: int | None) -> DataFrame:
-    counts = attachment_counts(restrict_to(anexos.select("id_email"), rows, "id_email", max_rows))
-    out = rows.join(bounded(counts, max_rows), "id_email", "left") if max_rows else \
-        rows.join(counts, "id_email", "left")
+    """Attachments per row; a page restricts them first, all rows meet the counts in one join."""
+    found = anexos.select("id_email")
+    if max_rows is None:
+        out = rows.join(attachment_counts(found), "id_email", "left")
+    else:
+        counts = attachment_counts(restrict_to(found, rows, "id_email", max_rows))
+        out = rows.join(bounded(counts, max_rows), "id_email", "left")
     return out.withColumn("n_anexos", F.coalesce(F.col("n_anexos"), F.lit(0)))
 
 

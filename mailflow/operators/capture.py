@@ -68,16 +68,21 @@ def new_messages(landed: DataFrame, existing: DataFrame, address: str) -> DataFr
     return first.join(existing.select("message_id").distinct(), "message_id", "left_anti")
 
 
+def mail_key() -> Column:
+    """128-bit key of a mail, the same in every run and in every table it is stored in."""
+    return F.md5(F.col("message_id").cast("binary"))
+
+
 def keyed_emails(new: DataFrame) -> DataFrame:
     """Stored mail rows with a stable key derived from the message id
     (no round trip to a sequence; re-running gives the same keys)."""
-    return new.withColumn("id_email", F.xxhash64("message_id"))
+    return new.withColumn("id_email", mail_key())
 
 
 def stored_attachments(new: DataFrame, parts: DataFrame) -> DataFrame:
     """The attachment rows of new messages; empty parts are skipped."""
     p = parts.filter(F.col("tamanho") > 0)
-    return new.select("seq", "message_id").join(p, "seq", "inner")
+    return new.select("seq", "message_id", mail_key().alias("id_email")).join(p, "seq", "inner")
 
 
 def quality_failures(new: DataFrame, parts: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def quality_failures(new: DataFrame, parts: DataFrame) -> DataFrame:
                     F.lit(BAD_BODY)))
     msg = F.when(status == NO_ATTACHMENT, F.lit(NO_ATTACHMENT_MSG)).otherwise(F.lit(BAD_BODY_MSG))
     out = m.withColumn("status", status).filter(F.col("status").isNotNull())
-    return out.select("seq", "message_id",
+    return out.select("seq", "message_id", mail_key().alias("id_email"),
                       F.col("status").alias("tipo_resposta"), "status",
                       F.lit("erro").alias("status_validacao"), F.lit(False).alias("validado"),
                       F.array(msg).alias("erros"),

@@ -83,12 +83,12 @@ def left_join_bounded(small: DataFrame, big: DataFrame, left_on: str, right_on:
                       max_rows: int | None) -> DataFrame:
     """``small`` LEFT JOIN ``big`` where ``small`` has at most ``max_rows`` rows.
 
-    A left outer join cannot broadcast its left side, so ``big`` is first
+    Without a bound it is one plain left join. A left outer join cannot broadcast its left side, so ``big`` is first
     reduced to the matching keys (broadcast semi join), then the two small
     sides are joined.
     """
     keys = small.select(F.col(left_on).alias(right_on))
-    reduced = restrict_to(big, keys, right_on, max_rows)
+    reduced = big if max_rows is None else restrict_to(big, keys, right_on, max_rows)
     cond = small[left_on] == reduced[right_on]
     out = small.join(reduced, cond, "left")
     return out.drop(reduced[right_on])

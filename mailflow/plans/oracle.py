@@ -535,12 +535,14 @@ WHERE lower(coalesce(NULLIF(regexp_extract(remetente, '<([^<>]*)>', 1), ''), tri
 
 SQL["capture_new_messages"] = NEW_CAPTURE
 
+SQL["capture_emails"] = f"SELECT n.*, md5(n.message_id) AS id_email FROM ({NEW_CAPTURE}) n"
+
 SQL["capture_attachments"] = f"""
-SELECT n.seq, n.message_id, a.parte, a.nome_arquivo, a.tipo_arquivo, a.tamanho
+SELECT n.seq, n.message_id, md5(n.message_id) AS id_email, a.parte, a.nome_arquivo, a.tipo_arquivo, a.tamanho
 FROM ({NEW_CAPTURE}) n JOIN captura_anexos a ON a.seq = n.seq WHERE a.tamanho > 0"""
 
 SQL["capture_quality_failures"] = f"""
-SELECT seq, message_id, st AS tipo_resposta, st AS status, 'erro' AS status_validacao, false AS validado,
+SELECT seq, message_id, md5(message_id) AS id_email, st AS tipo_resposta, st AS status, 'erro' AS status_validacao, false AS validado,
   CASE WHEN st = 'sem_anexo' THEN 'E-mail sem anexo. Não é possível realizar análise completa.'
        ELSE 'Corpo da mensagem está vazio ou fora do padrão esperado.' END AS erros,
   recebido_em AS data_chegada
