@@ -14,7 +14,8 @@ content that all its windows cover together, with the set of windows).
 
 Every step is a grouped aggregation with partial sums or a join of two
 shuffled sides, so a class or context that a third of all texts share is
-pre-aggregated or split; no group is gathered in one task.
+pre-aggregated or split; no group is gathered in one task. The marks of a
+``did`` are a set, so they are bounded by its text, however often it is copied.
 """
 
 from __future__ import annotations
@@ -225,7 +226,8 @@ def marks(docs: DataFrame, kernel: Kernel, earlier_only: bool, last_digits) -> D
     some = some.groupBy("did", "context").agg(
         *[F.bit_or(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(3)])
     every = full.select("did", "context", *[F.lit(-1).cast("long").alias(f"m{w}") for w in range(3)])
-    got = every.unionByName(some).groupBy("did").agg(F.collect_list(F.struct("context", "m0", "m1", "m2")).alias("x"))
+    # A set: each of the rows with one did brings the same marks, and partial sets drop them before the shuffle.
+    got = every.unionByName(some).groupBy("did").agg(F.collect_set(F.struct("context", "m0", "m1", "m2")).alias("x"))
     return stored(got.select("did", *[F.col(f"x.{c}").alias(c) for c in ("context", "m0", "m1", "m2")]), "marks")
 
 

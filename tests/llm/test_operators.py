@@ -138,6 +138,20 @@ def test_op5_removes_repeated_byte_windows(docs, rows):
         r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) != want[r.doc_id]] == []
 
 
+def test_op5_marks_of_a_text_do_not_grow_with_its_copies(spark):
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("abcdefgh "), 1500))
+    other = "".join(["z" * 50, text[100:400], "z", *rng.choice(list("klmnop "), 249)])
+    docs = spark.createDataFrame([(i, text) for i in range(3000)] + [(3000, other)], "doc_id long, text string").repartition(5)
+    did = docs.selectExpr("text", "xxhash64(text) did")
+    contexts = len(set(suffix_dedup.anchored([text.encode()]).contexts.tolist()))
+    sizes = suffix_dedup.marks(did, suffix_dedup.anchored, False, suffix_dedup._last_digits).selectExpr("size(context) n").collect()
+    assert max(r.n for r in sizes) <= contexts
+    got = suffix_dedup.op5(docs).collect()
+    assert len(got) == 3001
+    assert all((r.n_bytes, r.n_removed, r.n_spans) == ((1500, 1500, 1) if r.doc_id < 3000 else (600, 300, 1)) for r in got)
+
+
 def test_op6_links_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 16))
