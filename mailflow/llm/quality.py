@@ -4,12 +4,17 @@ Each text gives counts (words, symbols, repeated lines, repeated three-word
 windows, capitals, signs that are no letters) that become a vector of
 transformed statistics: log mean word length and square roots of shares. Per
 language and source a minimum-covariance-determinant estimate is found by
-concentration steps over all documents: start from medians and quartiles, keep
+concentration steps over all its documents: start from medians and quartiles, keep
 the ``support`` share of documents that are nearest, take their mean and
 covariance, repeat. A document whose squared Mahalanobis distance exceeds
-a chi-square quantile is rejected. Groups under ``min_group`` documents use the estimate
-of all documents. Each step is a Spark aggregation of fixed-size sums, with
-partial sums before the shuffle, so a hot source is no single task's work.
+a chi-square quantile is rejected. Each step is a Spark aggregation of fixed-size
+sums, with partial sums before the shuffle, so a hot source is no single task's work.
+
+Every group has its own estimate, whatever its size, and what a small one
+lacks comes smoothly from its language: an estimate is that of its n nearest
+documents and ``min_group`` more as its language has them; the language's is
+that of its own and ``pool`` more as all documents have them. ``pool`` is
+small, since sources of one language are written alike and languages are not.
 
 The variance of every statistic is floored at ``FLOOR`` squared plus what a
 share of n words (or lines) scatters by itself (``NOISE / n``), so a text with one
@@ -116,9 +121,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 def _inverse(factor: float):
-    """Rows of sums -> centre and inverse of the floored covariance, per group."""
-    floor = np.diag(np.square(FLOOR))
-
+    """Rows of sums -> count, centre, covariance and inverse of the floored covariance, per group."""
     def run(batches):
         for b in batches:
             out = []
@@ -130,9 +133,33 @@ def _inverse(factor: float):
                 c = s / n
                 cov = (q / n - np.outer(c, c)) * factor
                 w, v = np.linalg.eigh(cov)
-                cov = v @ np.diag(np.maximum(w, 0)) @ v.T + floor
-                out.append((r.g, list(map(float, c)), [float(x) for x in np.linalg.inv(cov).ravel()]))
-            yield pd.DataFrame(out, columns=["g", "c", "p"])
+                cov = v @ np.diag(np.maximum(w, 0)) @ v.T
+                out.append((r.g, n, c.tolist(), cov.ravel().tolist(), _precision(cov)))
+            yield pd.DataFrame(out, columns=["g", "n", "c", "v", "p"])
+    return run
+
+
+def _precision(cov: np.ndarray) -> list[float]:
+    return np.linalg.inv(cov + np.diag(np.square(FLOOR))).ravel().tolist()
+
+
+def pooled(n: float, c: np.ndarray, v: np.ndarray, k: float, c0: np.ndarray, v0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of n documents and k more as a wider estimate has them."""
+    a, b, d = n / (n + k), k / (n + k), c - c0
+    return a * c + b * c0, a * v + b * v0 + a * b * np.outer(d, d)
+
+
+def _lent(min_group: int, pool: int):
+    """Rows with the estimates of a group, its language (1) and all documents (0) -> the group's centre and inverse."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                c, c1, c0 = (np.array(x, float) for x in (r.c, r.c1, r.c0))
+                v, v1, v0 = (np.array(x, float).reshape(D, D) for x in (r.v, r.v1, r.v0))
+                c, v = pooled(r.n, c, v, min_group, *pooled(r.n1, c1, v1, pool, c0, v0))
+                out.append((r.grp, c.tolist(), _precision(v)))
+            yield pd.DataFrame(out, columns=["grp", "c", "p"])
     return run
 
 
@@ -174,11 +201,12 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
-    """Centre ``c`` and inverse covariance ``p`` of each group ``g`` by concentration steps."""
+    """Of each group ``g`` by concentration steps: count ``n`` of the nearest documents, their
+    centre ``c``, covariance ``v`` and the inverse ``p`` of the floored covariance."""
     factor = support / _chi2_cdf(chi2_quantile(support, D), D + 2)
     now = cut(_start(rows))
     for _ in range(steps):
-        d = (rows.join(now, "g").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 8))
+        d = (rows.join(sized_broadcast(now.select("g", "c", "p"), 20_000), "g").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 8))
              .select("g", "bin", *STATS))
         per = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
         w = Window.partitionBy("g").orderBy("bin")
@@ -187,38 +215,36 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFra
                 .where(F.col("upto") >= F.lit(support) * F.col("all"))
                 .groupBy("g").agg(F.min("bin").alias("edge")))
         near = d.join(edge, "g").where("bin <= edge")
-        now = cut(_sums(near).mapInPandas(_inverse(factor), "g string, c array<double>, p array<double>"))
+        now = cut(_sums(near).mapInPandas(
+            _inverse(factor), "g string, n double, c array<double>, v array<double>, p array<double>"))
     return now
 
 
-def judge(docs: DataFrame, keep: list[str], confidence: float = 0.99, min_group: int = 200) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], confidence: float = 0.99, min_group: int = 200, pool: int = 20) -> DataFrame:
     """Counts, ``base_failed``, ``distance`` and ``kept`` of each document.
 
     A squared distance over the chi-square quantile at ``confidence`` rejects.
     ``docs`` needs ``text, lang, source``. ``keep`` names the columns to carry.
     """
     carried = list(dict.fromkeys([*keep, "lang", "source"]))
-    key = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
+    lang = F.coalesce("lang", F.lit("\x00"))
     m = stored(measured(docs, carried).withColumns({
-        "grp": key,
+        "grp": F.concat_ws("\x1f", F.lit("2"), lang, F.coalesce("source", F.lit("\x00"))),
+        "wide": F.concat_ws("\x1f", F.lit("1"), lang),
         "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")}), "quality")
-    fit = m.where("not base_failed").select("grp", "n_words", "n_lines", *STATS)
-    sizes = fit.groupBy("grp").agg(F.count("*").alias("size"))
-    tagged = fit.join(sizes, "grp").withColumn("g", F.when(F.col("size") >= min_group, F.col("grp")).otherwise("*"))
-    est = estimates(tagged.select("g", "n_words", "n_lines", *STATS))
-    everyone = cut(estimates(fit.withColumn("g", F.lit("*")))) if _has_small(sizes, min_group) else est
-    pick = sizes.withColumn("g", F.when(F.col("size") >= min_group, F.col("grp")).otherwise("*")).join(
-        est.where("g <> '*'").unionByName(everyone.where("g = '*'")), "g").select("grp", "c", "p")
+    fit = m.where("not base_failed")
+    levels = F.explode(F.array("grp", "wide", F.lit("0")))
+    est = estimates(fit.select(levels.alias("g"), "n_words", "n_lines", *STATS))
+    level = lambda key, to: est.select(F.col("g").alias(key), *[F.col(x).alias(x + to) for x in ("n", "c", "v")])
+    pick = (fit.select("grp", "wide").distinct().withColumn("all", F.lit("0"))
+            .join(level("grp", ""), "grp").join(level("wide", "1"), "wide").join(level("all", "0"), "all")
+            .mapInPandas(_lent(min_group, pool), "grp string, c array<double>, p array<double>"))
     rows = m.join(sized_broadcast(cut(pick), 20_000), "grp", "left")
     far = F.coalesce(_distance(), F.lit(0.0))
     return (rows.withColumn("distance", far)
             .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(confidence, D))))
 
 
-def _has_small(sizes: DataFrame, min_group: int) -> bool:
-    return not sizes.where(F.col("size") < min_group).isEmpty()
-
-
 def op10(documents: DataFrame) -> DataFrame:
     """Contract query over every document."""
     return judge(documents.select("doc_id", "text", "lang", "source"), ["doc_id"]).select(

@@ -297,6 +297,22 @@ def test_op10_counts_and_verdicts(docs, rows):
     assert all(r.kept for r in plain) and noisy and not any(r.kept for r in noisy)
 
 
+def test_op10_judges_small_sources_by_their_language(spark):
+    rng = np.random.default_rng(8)
+
+    def text(least, most, signs=0):
+        ws = ["".join(rng.choice(list("abcdefghij"), rng.integers(least, most))) for _ in range(80)]
+        return " ".join([*ws, *["####"] * signs])
+
+    data = [(i, text(3, 9), "en", "web") for i in range(300)] + [(i, text(3, 9), "en", f"s{i % 9}") for i in range(300, 330)]
+    data += [(i, text(20, 50), "th", f"s{i % 9}") for i in range(400, 436)]  # long mean words, a few a source
+    data += [(500, text(3, 9, 40), "en", "web"), (501, text(3, 9, 40), "en", "s1"), (502, text(20, 50, 60), "th", "s1"),
+             (503, text(20, 50), "en", "web"), (504, text(20, 50), "en", "s1")]
+    got = quality.op10(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r.doc_id for r in got if not r.base_failed and not r.kept) == [500, 501, 502, 503, 504]
+    assert all(r.kept for r in got if r.doc_id < 500)
+
+
 def test_mcd_ignores_outliers(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0.5, 0.05, (400, 6))
