@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (embed_dedup, langid, lattice_lm, minhash, mixing, pii, quality, recompression,
-               sentencepiece_bpe, suffix_dedup)
+from . import (embed_dedup, langid, lattice_lm, minhash, mixing, pii, quality, ranked_search, recompression,
+               sentencepiece_bpe, suffix_dedup, token_files, vector_codes)
 
 
-def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _over(tables: str, fn: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        return fn(*[spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables.split()])
     run.__name__ = fn.__name__
     return run
 
@@ -28,4 +28,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _over("documents", pii.op8),
     "op9_recompression": _over("documents", recompression.op9),
     "op10_quality": _over("documents", quality.op10),
+    "op11_token_files": _over("documents", token_files.op11),
+    "op12_ranked_search": _over("documents benchmark", ranked_search.op12),
+    "op13_vector_codes": _over("embeddings", vector_codes.op13),
+}
+
+SQL: dict[str, str] = {
+    "op12_ranked_search": ranked_search.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
