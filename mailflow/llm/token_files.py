@@ -31,6 +31,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -109,11 +110,17 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that its memory stays warm."""
+    return Encoder(path)
+
+
 def encode_texts(documents: DataFrame, tokenizer: str) -> DataFrame:
     """``(doc_id, h, ids)``: 16-bit ids with the end id, and a hash that orders equal doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = _encoder(tokenizer)
         end = struct.pack("<H", END)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
