@@ -9,11 +9,13 @@ distribution, retries and partitioning left to Spark.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -25,12 +27,14 @@ DEFAULT_ATTACHMENT_NAME = "sem_nome"
 
 
 def read_landed_mail(spark: SparkSession, path: str, glob: str = "*.eml",
-                     streaming: bool = False) -> DataFrame:
-    """Landed messages as ``(path, modificationTime, length, content)``."""
+                     streaming: bool = False, max_files: int | None = None) -> DataFrame:
+    """Landed messages as ``(path, modificationTime, length, content)``; ``max_files`` bounds a micro-batch."""
     reader = spark.readStream if streaming else spark.read
     reader = reader.format("binaryFile").option("pathGlobFilter", glob)
     if streaming:
         reader = reader.schema(schemas.RAW_MAIL)
+        if max_files is not None:
+            reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
 
 
@@ -139,6 +143,71 @@ def parse_raw_mail(raw: DataFrame) -> DataFrame:
                                                      schemas.PARSED_MAIL)
 
 
+def split_mailbox(path: str, content: bytes) -> list[bytes]:
+    """The messages of a landed file: one, or those of a mailbox bundle.
+
+    A bundle starts with a separator line ``From ...``; such lines inside its
+    messages are quoted with ``>``.
+    """
+    if not content.startswith(b"From "):
+        return [content]
+    messages = re.split(rb"^From [^\n]*\n", content, flags=re.M)[1:]
+    return [re.sub(rb"^>(>*From )", rb"\1", m, flags=re.M) for m in messages]
+
+
+def _mailbox_rows(path: str, content: bytes):
+    from email import policy
+    from email.parser import BytesHeaderParser
+    from email.utils import parseaddr
+
+    for i, message in enumerate(split_mailbox(path, content)):
+        try:
+            row = _parse_one(path, message)
+        except Exception as exc:  # noqa: BLE001 - the outcome is a column
+            row = dict.fromkeys(("path", "message_id", "remetente", "assunto", "recebido_em_raw", "corpo_email"))
+            row.update(anexos=[], erro_parse=f"{type(exc).__name__}: {exc}")
+            try:  # the sender and the id still decide whether the message was to be captured
+                head = BytesHeaderParser(policy=policy.compat32).parsebytes(message)
+                mid = head.get("Message-ID")
+                row.update(remetente=parseaddr(_decode(head["From"]))[1], assunto=_decode(head.get("Subject", "")),
+                           message_id=(str(mid).strip() or None) if mid else None,
+                           recebido_em_raw=str(head.get("Date", "")).strip())
+            except Exception:  # noqa: BLE001 - not even headers: the first failure stands
+                pass
+        row.update(path=path, indice=i, conteudo_sha256=hashlib.sha256(message).hexdigest())
+        yield row
+
+
+def parse_mailbox(raw: DataFrame, rows_at_once: int = 500) -> DataFrame:
+    """Every message of landed ``(path, content)`` files, bundles included, with its place ``indice`` in the file.
+
+    A message that cannot be parsed has ``erro_parse`` and what its headers give.
+    """
+    schema = T.StructType([*schemas.PARSED_MAIL.fields, T.StructField("indice", T.IntegerType())])
+    cols = [f.name for f in schema.fields]
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], map(bytes, pdf["content"])):
+                for row in _mailbox_rows(path, content):
+                    rows.append(row)
+                    if len(rows) >= rows_at_once:
+                        yield pd.DataFrame(rows, columns=cols)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
+
+    return raw.select("path", "content").mapInPandas(run, schema)
+
+
+def as_bundle(raw: DataFrame) -> DataFrame:
+    """Rendered messages ``(content)`` as the text lines of a mailbox bundle (``value``), for ``write.text``."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"(?m)^(>*From )", ">$1")
+    return raw.select(F.concat(F.lit("From -\r\n"), text).alias("value"))
+
+
 def with_fallback_id(parsed: DataFrame) -> DataFrame:
     """a missing Message-ID becomes a content-derived id (stable across
     runs and folders, unlike a mailbox position)."""
@@ -151,7 +220,8 @@ def render_raw_mail(landed: DataFrame, parts: DataFrame) -> DataFrame:
 
     Used to exercise the parser on data that grows with the tables: subjects
     of even sequence numbers are RFC 2047 encoded (with accents), bodies and
-    attachments are base64 parts of a multipart/mixed message.
+    attachments are base64 parts of a multipart/mixed message. A null
+    ``message_id`` gives no such header; a column ``charset`` names the body's.
     """
     crlf = F.lit("\r\n")
     boundary = F.concat(F.lit("==b"), F.col("seq").cast("string"), F.lit("=="))
@@ -174,13 +244,14 @@ def render_raw_mail(landed: DataFrame, parts: DataFrame) -> DataFrame:
                                  lambda x: x["t"]), "").alias("_parts"))
     m = landed.join(att, "seq", "left")
     body = F.when(F.col("corpo_email").isNotNull(), F.concat(
-        F.lit("--"), boundary, crlf, F.lit('Content-Type: text/plain; charset="utf-8"'), crlf,
+        F.lit("--"), boundary, crlf, F.lit('Content-Type: text/plain; charset="'),
+        F.col("charset") if "charset" in landed.columns else F.lit("utf-8"), F.lit('"'), crlf,
         F.lit("Content-Transfer-Encoding: base64"), crlf, crlf,
         F.base64(F.encode(F.col("corpo_email"), "UTF-8")), crlf)).otherwise(F.lit(""))
     text = F.concat(
         F.lit("From: Remetente <"), F.col("remetente"), F.lit(">"), crlf,
         F.lit("Subject: "), subject_hdr, crlf,
-        F.lit("Message-ID: "), F.col("message_id"), crlf,
+        F.coalesce(F.concat(F.lit("Message-ID: "), F.col("message_id"), crlf), F.lit("")),
         F.lit("Date: "), F.date_format("recebido_em", "EEE, dd MMM yyyy HH:mm:ss '+0000'"), crlf,
         F.lit("MIME-Version: 1.0"), crlf,
         F.lit('Content-Type: multipart/mixed; boundary="'), boundary, F.lit('"'), crlf, crlf,
