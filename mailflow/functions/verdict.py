@@ -119,13 +119,19 @@ def verdict_prompt(subject="assunto", body="corpo_email", names="nomes_texto",
         F.coalesce(_col(names), F.lit("")), _col(fields))
 
 
+NO_ANSWER = "sem resposta do avaliador"
+
+
 def score_with(df: DataFrame, scorer: Callable, key: str = "id_email",
                prompt: str = "prompt") -> DataFrame:
     """Run a caller-supplied scorer over Arrow batches (``mapInPandas``).
 
     ``scorer(pandas.DataFrame[key, prompt]) -> pandas.DataFrame[key, conteudo]``
-    returns raw verdict text per row. A batch that raises gives every row of
-    the batch the call-failure verdict (F18) instead of failing the job.
+    returns raw verdict text per row. A call that raises is repeated on halves
+    of its rows down to single ones, so only rows that fail by themselves get
+    the call-failure verdict (F18), whatever the size of a batch; a row that
+    the scorer leaves out gets it too. ``n`` failing rows of a batch of ``m``
+    cost about ``2 n log2 m`` calls more.
     Output: ``key, conteudo, erro_chamada`` -- feed it to ``parse_verdict``.
     """
     import pandas as pd
@@ -133,16 +139,27 @@ def score_with(df: DataFrame, scorer: Callable, key: str = "id_email",
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, conteudo string, erro_chamada string"
 
+    def answered(rows):
+        try:
+            out = scorer(rows)
+            texts = out.drop_duplicates(key).set_index(key)["conteudo"]
+        except Exception as exc:  # noqa: BLE001 - the outcome is a column
+            if len(rows) == 1:
+                yield pd.DataFrame({key: rows[key], "conteudo": None, "erro_chamada": str(exc)})
+                return
+            half = len(rows) // 2
+            yield from answered(rows.iloc[:half])
+            yield from answered(rows.iloc[half:])
+            return
+        got = rows[key].map(texts)
+        missing = ~rows[key].isin(texts.index)
+        yield pd.DataFrame({key: rows[key], "conteudo": got.astype(object).where(got.notna(), None),
+                            "erro_chamada": missing.map({True: NO_ANSWER, False: None})})
+
     def run(batches):
         for pdf in batches:
-            try:
-                out = scorer(pdf[[key, prompt]])
-                res = pd.DataFrame({key: out[key], "conteudo": out["conteudo"],
-                                    "erro_chamada": None})
-            except Exception as exc:  # noqa: BLE001 - one failure per batch
-                res = pd.DataFrame({key: pdf[key], "conteudo": None,
-                                    "erro_chamada": str(exc)})
-            yield res
+            if len(pdf):
+                yield from answered(pdf[[key, prompt]])
 
     return df.select(key, prompt).mapInPandas(run, schema)
 

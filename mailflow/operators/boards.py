@@ -93,10 +93,10 @@ def protocol_listing(emails: DataFrame, protocolos: DataFrame, respostas: DataFr
     r = _replies(respostas, REPLY_COLS, reply_key)
     page = page.withColumn("_lkey", F.col(reply_key))
     rows = left_join_bounded(page, r, "_lkey", "_rkey", limite).drop("_lkey")
+    rows = materialize_page(rows, limite)  # at most one reply a case
     a = anexos.select(F.col("id_email").alias("_aid"), "id_anexo", "nome_arquivo",
                       "tipo_arquivo")
-    rows = rows.withColumn("_eid", F.col("id_email"))
-    rows = left_join_bounded(rows, a, "_eid", "_aid", limite).drop("_eid")
+    rows = left_join_bounded(rows, a, "id_email", "_aid", limite)
     rows = rows.withColumn("tem_zip", has_suffix("nome_arquivo", ".zip")) \
                .withColumn("tem_pdf", has_suffix("nome_arquivo", ".pdf"))
     return top_k(rows, [desc_nf("criado_em"), asc_nf("id_protocolo"), asc_nf("id_anexo")], limite)
@@ -152,13 +152,12 @@ def attachments_of(page: DataFrame, anexos: DataFrame, max_rows: int | None) ->
     """Attachment rows of the mails on a page (long form, no nesting).
 
     One row per (page row, attachment); page rows without attachments keep
-    one row with NULL attachment columns. The attachment table is scanned
-    once and reduced to the page's mails by a broadcast semi join.
+    one row with NULL attachment columns. The page is broadcast to the scan of
+    the attachments, so a mail with very many stays spread over its tasks.
     """
     a = anexos.select(F.col("id_email").alias("_aid"), "id_anexo", "nome_arquivo",
                       "tipo_arquivo")
-    page = page.withColumn("_eid", F.col("id_email"))
-    return left_join_bounded(page, a, "_eid", "_aid", max_rows).drop("_eid")
+    return left_join_bounded(page, a, "id_email", "_aid", max_rows)
 
 
 def attachment_counts(anexos: DataFrame) -> DataFrame:
@@ -278,6 +277,39 @@ def case_detail(emails: DataFrame, respostas: DataFrame, anexos: DataFrame,
     return out.na.fill(0, ["n_respostas", "n_anexos", "n_protocolos"])
 
 
+DETAIL_SECTIONS = ("email", "anexo", "resposta", "protocolo")
+
+
+def case_detail_rows(emails: DataFrame, respostas: DataFrame, anexos: DataFrame, protocolos: DataFrame,
+                     ids: DataFrame | None = None, max_ids: int | None = None) -> DataFrame:
+    """The case detail as rows of four kinds: the mail, its attachments, replies and cases.
+
+    ``secao`` names the kind, ``id`` the row; columns of other kinds are NULL.
+    Ordered by mail, kind and id through range partitioning on all three, so
+    a mail with very many rows is spread over tasks. ``ids`` (``id_email``)
+    restricts every side before the union; attachments, replies and cases of
+    unknown mails give no row.
+    """
+    if ids is not None:
+        emails, respostas, anexos, protocolos = (
+            restrict_to(df, ids, "id_email", max_ids) for df in (emails, respostas, anexos, protocolos))
+    known = emails.select("id_email").where("id_email IS NOT NULL").distinct()
+
+    def part(df: DataFrame, secao: str, key: str, *cols) -> DataFrame:
+        return df.select("id_email", F.lit(DETAIL_SECTIONS.index(secao)).alias("_ordem"), F.lit(secao).alias("secao"),
+                         F.col(key).cast("long").alias("id"), *cols)
+
+    sides = [part(respostas, "resposta", "id_resposta", "status_final", "processo", "opaj"),
+             part(anexos, "anexo", "id_anexo", "nome_arquivo", "tipo_arquivo"),
+             part(protocolos, "protocolo", "id_protocolo", "acao_usuario",
+                  F.col("usuario_protocolo").alias("usuario"), F.coalesce("protocolado_em", "criado_em").alias("data_registro"),
+                  F.col("recibo_protocolo").alias("nome_recibo"))]
+    rows = part(emails, "email", "id_email", "assunto", "remetente", "recebido_em", "corpo_email")
+    for side in sides:
+        rows = rows.unionByName(side.join(known, "id_email", "left_semi"), allowMissingColumns=True)
+    return rows.orderBy("id_email", "_ordem", "id").drop("_ordem")
+
+
 def filed_cases(emails: DataFrame, protocolos: DataFrame, respostas: DataFrame,
                 anexos: DataFrame, reply_key: str = "id_resposta") -> DataFrame:
     """Cases marked as filed, with mail, reply status and attachment count."""

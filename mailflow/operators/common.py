@@ -83,15 +83,19 @@ def left_join_bounded(small: DataFrame, big: DataFrame, left_on: str, right_on:
                       max_rows: int | None) -> DataFrame:
     """``small`` LEFT JOIN ``big`` where ``small`` has at most ``max_rows`` rows.
 
-    Without a bound it is one plain left join. A left outer join cannot broadcast its left side, so ``big`` is first
-    reduced to the matching keys (broadcast semi join), then the two small
-    sides are joined.
+    Without a bound it is one plain left join. A left outer join cannot
+    broadcast its left side, so with a bound it is an inner join with the
+    broadcast page, in which ``big`` stays in its scan tasks (the rows of a hot
+    key are not brought together), and the page's rows without a match.
+    ``small`` is read three times: it should be materialised.
     """
-    keys = small.select(F.col(left_on).alias(right_on))
-    reduced = big if max_rows is None else restrict_to(big, keys, right_on, max_rows)
-    cond = small[left_on] == reduced[right_on]
-    out = small.join(reduced, cond, "left")
-    return out.drop(reduced[right_on])
+    if max_rows is None or max_rows > BROADCAST_MAX_ROWS:
+        return small.join(big, small[left_on] == big[right_on], "left").drop(big[right_on])
+    inner = big.join(F.broadcast(small), F.col(right_on) == F.col(left_on), "inner")
+    found = restrict_to(big.select(right_on), small.select(F.col(left_on).alias(right_on)), right_on, max_rows).distinct()
+    alone = small.join(found, F.col(left_on) == F.col(right_on), "left_anti")
+    cols = [*small.columns, *[c for c in big.columns if c != right_on]]
+    return inner.select(*cols).unionByName(alone, allowMissingColumns=True)
 
 
 def desc_nf(c) -> Column:

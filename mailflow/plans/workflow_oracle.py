@@ -53,5 +53,54 @@ SELECT *, CAST(sum(total) OVER (ORDER BY lote) - 1 AS BIGINT) AS atual FROM (
   count(CASE WHEN resultado = 'ignorado' THEN 1 END) AS ignorados FROM ({_PASS}) p GROUP BY lote) t"""
 
 
+# -- upserts of touched ranges: the same tables as whole rewrites -------------------------
+SQL["reply_upsert_ranges"] = O.SQL["reply_upsert"]
+SQL["filing_update_ranges"] = O.SQL["filing_update"]
+
+# -- scorer ------------------------------------------------------------------------------
+_CALL = "CASE WHEN id_email % 11 = 4 THEN 'tempo esgotado' WHEN id_email % 13 = 6 THEN 'sem resposta do avaliador' END"
+SQL["scored_verdicts"] = f"""
+SELECT id_email, erro_chamada,
+  CASE WHEN erro_chamada IS NULL AND k = 0 THEN TRUE WHEN erro_chamada IS NULL AND k = 1 THEN FALSE END AS valido,
+  CASE WHEN erro_chamada IS NULL AND k = 0 THEN TRUE END AS coerencia,
+  CASE WHEN erro_chamada IS NOT NULL THEN 'IA não executada — erro de API: ' || erro_chamada WHEN k = 0 THEN 'ok'
+   WHEN k = 1 THEN 'sem minuta' ELSE 'IA não respondeu em JSON válido. Conteúdo bruto: Desculpe, nao posso.' END AS motivo,
+  CASE WHEN erro_chamada IS NOT NULL OR k = 2 THEN 'aguardar' WHEN k = 0 THEN 'protocolar' ELSE 'rejeitar' END AS acao_sugerida,
+  CASE WHEN erro_chamada IS NOT NULL THEN erro_chamada WHEN k = 2 THEN 'json_decode_error' END AS erro_ia,
+  CASE WHEN erro_chamada IS NULL AND k = 1 THEN 'minuta' ELSE '' END AS faltantes
+FROM (SELECT e.id_email, {_CALL.replace("id_email", "e.id_email")} AS erro_chamada, e.id_email % 3 AS k FROM emails e
+  WHERE e.tipo_email = 'protocolo' AND NOT EXISTS (SELECT 1 FROM protocolos p WHERE p.id_email = e.id_email)) b"""
+
+# -- case detail, backlog page, report and log files -------------------------------------
+SQL["case_detail_rows"] = """
+SELECT id_email, 'email' AS secao, id_email AS id, assunto, remetente, recebido_em, corpo_email, NULL AS status_final,
+ NULL AS processo, NULL AS opaj, NULL AS nome_arquivo, NULL AS tipo_arquivo, NULL AS acao_usuario, NULL AS usuario,
+ CAST(NULL AS TIMESTAMP) AS data_registro, NULL AS nome_recibo FROM emails
+UNION ALL SELECT id_email, 'resposta', id_resposta, NULL, NULL, NULL, NULL, status_final, processo, opaj, NULL, NULL, NULL, NULL, NULL, NULL
+ FROM respostas WHERE id_email IN (SELECT id_email FROM emails)
+UNION ALL SELECT id_email, 'anexo', id_anexo, NULL, NULL, NULL, NULL, NULL, NULL, NULL, nome_arquivo, tipo_arquivo, NULL, NULL, NULL, NULL
+ FROM anexos_email WHERE id_email IN (SELECT id_email FROM emails)
+UNION ALL SELECT id_email, 'protocolo', id_protocolo, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, acao_usuario, usuario_protocolo,
+ coalesce(protocolado_em, criado_em), recibo_protocolo FROM protocolos WHERE id_email IN (SELECT id_email FROM emails)"""
+
+SQL["validation_backlog_page"] = """
+SELECT e.* FROM emails e WHERE e.tipo_email = 'protocolo'
+ AND NOT EXISTS (SELECT 1 FROM protocolos p WHERE p.id_email = e.id_email) ORDER BY e.id_email LIMIT 25"""
+
+SQL["validation_backlog_day"] = """
+SELECT e.* FROM emails e WHERE e.tipo_email = 'protocolo' AND CAST(e.recebido_em AS DATE) = DATE '1995-07-21'
+ AND NOT EXISTS (SELECT 1 FROM protocolos p WHERE p.id_email = e.id_email)"""
+
+SQL["report_export"] = """
+SELECT p.id_protocolo, p.id_email, p.status, e.assunto, e.remetente, e.recebido_em, r.processo, r.opaj,
+  strftime(e.recebido_em, '%Y-%m') AS mes
+FROM protocolos p JOIN emails e ON e.id_email = p.id_email LEFT JOIN respostas r ON r.id_resposta = p.id_resposta
+WHERE e.tipo_email = 'protocolo' AND CAST(e.recebido_em AS DATE) >= DATE '1996-01-01' AND CAST(e.recebido_em AS DATE) <= DATE '1996-12-31'"""
+
+SQL["outcome_log"] = f"""
+SELECT CASE WHEN resultado = 'falha' THEN 'ERROR' ELSE 'INFO' END AS tipo, 'E-mail #' || seq || ': ' || resultado AS mensagem,
+  '2026-01-01 00:00:00' AS timestamp FROM ({O.OUTCOMES}) o"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: O.with_fixtures(sql) for name, sql in SQL.items()}

@@ -12,11 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..functions import verdict as V
+from ..operators import boards as B
+from ..operators import capture as K
+from ..operators import upsert as U
+from ..operators import validation as VA
+from ..operators.upsert import conform_to
 from ..session import scratch_path
+from ..sinks.partitioned import read_ranges, upsert_ranges, write_ranges
+from ..sinks.tables import export_report, write_outcome_log
 from ..sources.fixtures import stored_fixtures
 from ..sources.mailparse import as_bundle, render_raw_mail
 from ..streaming import mailbox as MB
-from .queries import SENDER, _as_of
+from .queries import REPORT_FROM, REPORT_TO, SENDER, _as_of
 
 WAVES = 3
 _runs: dict[tuple[str, str, str], object] = {}
@@ -85,8 +94,99 @@ def raw_capture_progress(spark, sf_dir):
                     "ignorados", "atual")
 
 
+# -- upserts of touched ranges ---------------------------------------------------------
+RANGE_KEYS = 5000
+BACKLOG_DAY = "1995-07-21"
+
+
+def reply_upsert_ranges(spark, sf_dir):
+    """W4 into a table kept in key ranges; only those of the new replies are rewritten."""
+    t = stored_fixtures(spark, sf_dir)
+    path = write_ranges(conform_to(t.respostas, schemas.RESPOSTAS), scratch_path(spark, f"respostas-{uuid.uuid4().hex}"),
+                        "id_email", RANGE_KEYS)
+    requests = VA.backlog_requests(t.emails, t.protocolos, t.anexos_email)
+    rows = VA.reply_rows(VA.verdicts_from_text(requests, t.ia_respostas), _as_of())
+    upsert_ranges(spark, path, rows, "id_email", VA.REPLY_UPDATE_COLS, RANGE_KEYS,
+                  new_key=F.lit(2000000) + F.col("id_email"), key_col="id_resposta")
+    return read_ranges(spark, path).drop("faixa").withColumn("erros", F.array_join("erros", ",")) \
+        .withColumn("nomes_anexos", F.array_join("nomes_anexos", ","))
+
+
+def filing_update_ranges(spark, sf_dir):
+    """W7 (update only) into a table kept in key ranges."""
+    t = stored_fixtures(spark, sf_dir)
+    path = write_ranges(t.protocolos, scratch_path(spark, f"protocolos-{uuid.uuid4().hex}"), "id_protocolo", RANGE_KEYS)
+    last = U.last_per_key(t.filing_requests, "id_protocolo", [F.col("solicitado_em"), F.col("seq")])
+    rows = last.select("id_protocolo", F.lit("protocolado").alias("acao_usuario"), F.col("usuario").alias("usuario_protocolo"),
+                       F.col("solicitado_em").alias("protocolado_em"), F.col("nome_recibo").alias("recibo_protocolo"), "observacao")
+    upsert_ranges(spark, path, rows, "id_protocolo", [c for c in rows.columns if c != "id_protocolo"], RANGE_KEYS, insert=False)
+    return read_ranges(spark, path).drop("faixa")
+
+
+# -- scorer ------------------------------------------------------------------------------
+def rule_scorer(rows):
+    """A deterministic scorer that answers by the key and fails on some rows (and so on any batch with one)."""
+    import pandas as pd
+    if (rows["id_email"] % 11 == 4).any():
+        raise TimeoutError("tempo esgotado")
+    answered = rows[rows["id_email"] % 13 != 6]
+    texts = {0: '{"valido": true, "campos_faltantes": [], "coerencia": true, "motivo": "ok", "acao_sugerida": "protocolar"}',
+             1: '```json\n{"valido": false, "campos_faltantes": ["minuta"], "motivo": "sem minuta", "acao_sugerida": "rejeitar"}\n```',
+             2: "Desculpe, nao posso."}
+    return pd.DataFrame({"id_email": answered["id_email"], "conteudo": (answered["id_email"] % 3).map(texts)})
+
+
+def scored_verdicts(spark, sf_dir):
+    """2.11 and F18: the backlog's requests scored by a function; failing rows get the call-failure verdict."""
+    t = stored_fixtures(spark, sf_dir)
+    requests = VA.backlog_requests(t.emails, t.protocolos, t.anexos_email)
+    v = V.parse_scored(V.score_with(requests, rule_scorer))
+    return v.select("id_email", "valido", "coerencia", "motivo", "acao_sugerida", "erro_ia", "erro_chamada",
+                    F.array_join("campos_faltantes", ",").alias("faltantes"))
+
+
+# -- case detail, backlog page, report and log files -------------------------------------
+def case_detail_rows(spark, sf_dir):
+    t = stored_fixtures(spark, sf_dir)
+    return B.case_detail_rows(t.emails, t.respostas, t.anexos_email, t.protocolos)
+
+
+def validation_backlog_page(spark, sf_dir):
+    """T5: the first 25 mails of the backlog."""
+    t = stored_fixtures(spark, sf_dir)
+    return B.validation_backlog(t.emails, t.protocolos, limite=25)
+
+
+def validation_backlog_day(spark, sf_dir):
+    """The whole backlog of one day."""
+    t = stored_fixtures(spark, sf_dir)
+    return B.validation_backlog(t.emails, t.protocolos, data=BACKLOG_DAY, limite=0)
+
+
+def report_export(spark, sf_dir):
+    """The report written as CSV by month, and read back."""
+    t = stored_fixtures(spark, sf_dir)
+    path = scratch_path(spark, f"relatorio-{uuid.uuid4().hex}")
+    rows = B.report_rows(t.emails, t.protocolos, t.respostas, REPORT_FROM, REPORT_TO, sort=False)
+    cols = ["id_protocolo", "id_email", "status", "assunto", "remetente", "recebido_em", "processo", "opaj"]
+    export_report(rows.select(*cols), path)
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in cols)
+    return spark.read.option("header", True).schema(f"{schema}, mes string").csv(path)
+
+
+def outcome_log(spark, sf_dir):
+    """The capture's outcomes written as JSON lines, and read back."""
+    t = stored_fixtures(spark, sf_dir)
+    path = scratch_path(spark, f"registro-{uuid.uuid4().hex}")
+    write_outcome_log(K.outcome_log(K.outcomes(t.captura, t.emails, SENDER), _as_of()), path)
+    return spark.read.schema("tipo string, mensagem string, timestamp string").json(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         raw_capture_emails, raw_capture_attachments, raw_capture_quality, raw_capture_outcomes, raw_capture_progress,
+        reply_upsert_ranges, filing_update_ranges, scored_verdicts, case_detail_rows, validation_backlog_page,
+        validation_backlog_day,        report_export, outcome_log,
     ]
 }
