@@ -32,7 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import cut, sized_broadcast, stored
@@ -149,14 +149,16 @@ def pooled(n: float, c: np.ndarray, v: np.ndarray, k: float, c0: np.ndarray, v0:
     return a * c + b * c0, a * v + b * v0 + a * b * np.outer(d, d)
 
 
-def _lent(min_group: int, pool: int):
-    """Rows with the estimates of a group, its language (1) and all documents (0) -> the group's centre and inverse."""
+def _lent(min_group: int, pool: int, everyone: Row | None):
+    """Rows with the estimates of a group and its language (1), and the one of all documents -> the group's centre and inverse."""
+    c0, v0 = (np.array(everyone.c, float), np.array(everyone.v, float).reshape(D, D)) if everyone else (None, None)
+
     def run(batches):
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                c, c1, c0 = (np.array(x, float) for x in (r.c, r.c1, r.c0))
-                v, v1, v0 = (np.array(x, float).reshape(D, D) for x in (r.v, r.v1, r.v0))
+                c, c1 = (np.array(x, float) for x in (r.c, r.c1))
+                v, v1 = (np.array(x, float).reshape(D, D) for x in (r.v, r.v1))
                 c, v = pooled(r.n, c, v, min_group, *pooled(r.n1, c1, v1, pool, c0, v0))
                 out.append((r.grp, c.tolist(), _precision(v)))
             yield pd.DataFrame(out, columns=["grp", "c", "p"])
@@ -214,7 +216,7 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFra
                            F.sum("n").over(Window.partitionBy("g")).alias("all"))
                 .where(F.col("upto") >= F.lit(support) * F.col("all"))
                 .groupBy("g").agg(F.min("bin").alias("edge")))
-        near = d.join(edge, "g").where("bin <= edge")
+        near = d.join(sized_broadcast(cut(edge), 20_000), "g").where("bin <= edge")  # a hot group stays in its tasks
         now = cut(_sums(near).mapInPandas(
             _inverse(factor), "g string, n double, c array<double>, v array<double>, p array<double>"))
     return now
@@ -236,9 +238,10 @@ def judge(docs: DataFrame, keep: list[str], confidence: float = 0.99, min_group:
     levels = F.explode(F.array("grp", "wide", F.lit("0")))
     est = estimates(fit.select(levels.alias("g"), "n_words", "n_lines", *STATS))
     level = lambda key, to: est.select(F.col("g").alias(key), *[F.col(x).alias(x + to) for x in ("n", "c", "v")])
-    pick = (fit.select("grp", "wide").distinct().withColumn("all", F.lit("0"))
-            .join(level("grp", ""), "grp").join(level("wide", "1"), "wide").join(level("all", "0"), "all")
-            .mapInPandas(_lent(min_group, pool), "grp string, c array<double>, p array<double>"))
+    everyone = est.where("g = '0'").select("c", "v").first()  # one row of fixed size
+    pick = (fit.select("grp", "wide").distinct()
+            .join(level("grp", ""), "grp").join(level("wide", "1"), "wide")
+            .mapInPandas(_lent(min_group, pool, everyone), "grp string, c array<double>, p array<double>"))
     rows = m.join(sized_broadcast(cut(pick), 20_000), "grp", "left")
     far = F.coalesce(_distance(), F.lit(0.0))
     return (rows.withColumn("distance", far)
