@@ -20,8 +20,8 @@ index of their shingles; nothing is compared within a component, and only
 links leave a block.
 
 Defined results: null text, empty text or no word -> empty set, linked with
-nothing; repeated rows are one class; rows that repeat a doc_id are one node,
-and a null doc_id is none (component null, kept false); an empty table gives
+nothing; repeated rows are one class; rows that repeat a doc_id are linked with
+each other, so their groups are one, and a null doc_id is none (component null, kept false); an empty table gives
 no rows; very long texts are read whole; other columns are not read.
 """
 
@@ -161,12 +161,18 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and one row per set of shingles: ``node`` (its number), ``lead`` (its smallest doc_id)."""
     rows = stored(sign(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "signatures")
-    classes = stored(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.min_by("tk", "doc_id").alias("tk"), F.first("n").alias("n"),
-        *[F.first(p).alias(p) for p in ("p0", "p1", "p2", "p3", "sig")]), "classes")
+    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("lead"), F.min_by("tk", F.struct("doc_id", "tk")).alias("tk"), F.first("n").alias("n"),
+        *[F.first(p).alias(p) for p in ("p0", "p1", "p2", "p3", "sig")])
+    # Numbered as it is written: a doc_id with several texts is the lead of several classes.
+    return rows, stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Enough links ``a, b`` between classes to connect all that similarity connects."""
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
     live = stored(keys.join(shared.select("key", "hub"), "key"), "live")
@@ -188,16 +194,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = (counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("k"))
              .where("k > 1").select("key", "main"))
     rest = tagged.join(mixed, "key").groupBy("main", "node").agg(F.min("comp").alias("comp"))
-    more = stored(across(rest, texts), "links")
-    label = components(links.unionByName(more))
-    named = (classes.select("digest", "node").join(label.withColumnRenamed("id", "node"), "node", "left")
-             .select("digest", F.coalesce("component", "node").alias("component_id")))
+    return links.unionByName(stored(across(rest, texts), "links"))
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``digest, lead, tk, component`` of the classes, components named by any of their nodes."""
+    label = components(links).withColumnRenamed("id", "node")
+    return classes.select("digest", "node", "lead", "tk").join(label, "node", "left").select(
+        "digest", "lead", "tk", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``."""
+    rows, classes = _classes(docs)
+    own = rows.where("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = own.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e")
+    own = (own.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+           .join(classes.select("digest", F.col("node").alias("b")), "digest").select("doc_id", "b"))
+    hub = own.groupBy("doc_id").agg(F.min("b").alias("a"))
+    same = own.join(hub, "doc_id").where("a <> b").select("a", "b")  # the texts of one doc_id
+    named = _labelled(classes, _links(docs, classes).unionByName(same))
+    least = named.groupBy("component").agg(F.min("lead").alias("component_id"))
+    named = named.join(least, "component").select("digest", "component_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """``doc_id, tk`` (hash of the text) of the texts that stay if one of each group of similar texts does.
+
+    Of a group the one with the smallest doc_id (then hash) stays; unlike texts
+    under one doc_id are not similar, so both stay. Texts without words all stay.
+    """
+    rows, classes = _classes(docs)
+    named = _labelled(classes, _links(docs, classes))
+    best = named.groupBy("component").agg(F.min(F.struct("lead", "tk")).alias("x")).select("x.*")
+    empty = rows.where("digest is null and doc_id is not null").select("doc_id", "tk").distinct()
+    return best.select(F.col("lead").alias("doc_id"), "tk").unionByName(empty)
+
+
 def across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between different components among the nodes of each group ``main``.
 
