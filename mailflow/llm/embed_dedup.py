@@ -20,8 +20,8 @@ with its number of links is returned, and a spanning forest of the block's
 links, at most one edge a row, never all pairs.
 
 Defined results: a null label, a null vector, a zero vector or one with a null
-or non-finite component or another length than the sample's links with
-nothing; equal vectors of a label are linked; rows that repeat a vec_id are
+or non-finite component links with nothing; vectors of other lengths than the
+most frequent one are compared among themselves in blocks, by cosine alone; equal vectors of a label are linked; rows that repeat a vec_id are
 one node; an empty table gives no rows; other columns are not read.
 """
 
@@ -98,7 +98,7 @@ def links_in_block(index: Index, centroid: int, cosine: float, radius: float,
                    ids: np.ndarray, v: np.ndarray, mult: np.ndarray,
                    q_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each query to other members (copies counted), and forest edges of the links."""
-    codes, err = index.encode(v, np.full(len(v), centroid))
+    codes, err = index.encode(v, np.full(len(v), centroid)) if centroid >= 0 else (None, None)
     counts, parent = np.zeros(len(q), np.int64), {}
 
     def find(a):
@@ -109,7 +109,10 @@ def links_in_block(index: Index, centroid: int, cosine: float, radius: float,
 
     forest = []
     for s in range(0, len(q), 1024):
-        near = index.distances(q[s:s + 1024], centroid, codes) <= radius + err[None, :] + 1e-7
+        if centroid >= 0:
+            near = index.distances(q[s:s + 1024], centroid, codes) <= radius + err[None, :] + 1e-7
+        else:  # a length that the index was not fitted on: all of the block by cosine
+            near = q[s:s + 1024] @ v.T >= cosine - 1e-9
         for i in np.flatnonzero(near.any(1)):
             at = np.flatnonzero(near[i])
             at = at[(v[at] @ q[s + i] >= cosine) & (ids[at] != q_ids[s + i])]
@@ -144,8 +147,7 @@ def near_vectors(table: DataFrame, vec: str = "embedding", cosine: float = 0.98,
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.col("vec_id").isNotNull().alias("kept"))
     dims = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()["d"]
-    classes = classes.where(F.size("v") == dims)
-    picked = classes.orderBy(F.xxhash64("v", F.lit(seed)), "rep").limit(sample).select("v").toPandas()
+    picked = classes.where(F.size("v") == dims).orderBy(F.xxhash64("v", F.lit(seed)), "rep").limit(sample).select("v").toPandas()
     lists = int(min(4096, max(1, n // 8192), len(picked)))
     index = spark.sparkContext.broadcast(Index(unit(picked["v"])[1], lists, seed))
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
@@ -153,6 +155,12 @@ def near_vectors(table: DataFrame, vec: str = "embedding", cosine: float = 0.98,
 
     def place(batches):
         for whole in batches:
+            sizes = whole["v"].map(len).to_numpy()
+            other = whole[sizes != dims]  # one list for each other length, numbered below zero
+            if len(other):
+                yield pd.DataFrame({"label": other["label"], "list": -sizes[sizes != dims], "own": True,
+                                    "rep": other["rep"], "m": other["m"], "v": other["v"]})
+            whole = whole[sizes == dims]
             for i in range(0, len(whole), 512):  # a vector may visit many lists
                 b = whole.iloc[i:i + 512]
                 x = unit(b["v"])[1]
