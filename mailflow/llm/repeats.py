@@ -70,13 +70,20 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text's words start (and the last end)."""
+    """Hashes of the words of all texts, and where each text's words start (and the last end).
+
+    Each byte is hashed with its place in the word before they are summed, so
+    no arrangement of letters cancels out as in a polynomial modulo 2**64.
+    """
     raw = np.frombuffer(b"\n".join([b"", *raws, b""]), np.uint8)
     word = ~_SPACE[raw]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1  # the first and last byte are no word
     start, end = edge[::2], edge[1::2]
     texts = np.cumsum([0, *(len(r) + 1 for r in raws)])
-    return Ranges(_BYTE[raw]).of(start, end), np.searchsorted(start, texts)
+    place = np.arange(len(raw), dtype=np.uint64)
+    place[1:] -= np.maximum.accumulate(np.where(word[1:] & ~word[:-1], place[1:], np.uint64(0)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(_BYTE[raw] + place * BASE), dtype=np.uint64)])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64) * BASE), np.searchsorted(start, texts)
 
 
 class Anchored(NamedTuple):
