@@ -8,7 +8,10 @@ pattern's confidence for a kind is the mean score of its distinct instances
 (smoothed by one), an unknown instance's score the best confidence among its
 patterns. Patterns with enough distinct seeds and a high confidence accept the
 identifier-like candidates found in their contexts that no base rule matched
-(numbers without the country sign, checksum failures, written-out addresses).
+(numbers without the country sign, checksum failures, written-out addresses);
+what they accept is a weaker seed of the next round. A context is looked for in
+the 80 characters before and the 40 after; numbers side by side share the words
+before the first; instances are told apart by their first 64 characters.
 
 Defined results: null counts as the empty text; offsets are code points, end
 exclusive; very long texts are scanned whole in linear time; repeated rows give
@@ -82,24 +85,39 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "at" in text:
         found += [("written", m.start(), m.end()) for m in WRITTEN.finditer(text)]
     for shape, s, e in found:
-        if any(a < e and s < b for a, b in taken if a < e):
-            continue
-        if shape == "number":
-            n = sum(map(str.isdigit, text[s:e]))
-            shape = "dotted" if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text[s:e]) else "long" if n >= 13 else "short"
-            if not 7 <= n <= 19:
+        for s, e in _apart(text, s, e) if shape == "number" else ((s, e),):
+            if any(a < e and s < b for a, b in taken if a < e):
                 continue
-        out.append((shape, s, e))
+            kind = shape
+            if shape == "number":
+                n = _digits(text[s:e])
+                kind = "dotted" if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text[s:e]) else "long" if n >= 13 else "short"
+                if not 7 <= n <= 19:
+                    continue
+            out.append((kind, s, e))
     return out
 
 
+def _digits(word: str) -> int:
+    return sum(map(str.isdigit, word))
+
+
+def _apart(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """Numbers side by side one by one: the parts between blanks, if each could be a number of its own."""
+    parts = [(s + m.start(), s + m.end()) for m in re.finditer("[^ ]+", text[s:e])]
+    return parts if len(parts) > 1 and all(_digits(text[a:b]) >= 7 for a, b in parts) else [(s, e)]
+
+
 # Which shapes a pattern of a kind may accept.
 FITS = {"email": ("written",), "ip": ("dotted",), "card": ("long",), "phone": ("short", "long")}
 _EDGE = ".,;:!?()[]{}\"'<>"
 
 
 def contexts(text: str, s: int, e: int) -> list[str]:
-    before = [w.strip(_EDGE).lower() for w in text[max(0, s - 80):s].split()[-2:]]
+    words = text[max(0, s - 80):s].split()
+    while words and _digits(words[-1]) >= 7:  # of a list of numbers all have the words before the first
+        words.pop()
+    before = [w.strip(_EDGE).lower() for w in words[-2:]]
     after = [w.strip(_EDGE).lower() for w in text[e:e + 40].split()[:1]]
     out = ["1 " + before[-1]] if before else []
     if len(before) == 2:
@@ -153,29 +171,38 @@ def occurrences(scanned: DataFrame) -> DataFrame:
                     F.col("e")[4].alias("pattern"))
 
 
-def patterns(occ: DataFrame, rounds: int = 3, least: float = 0.8, seeds: int = 5) -> DataFrame:
+SURE = 0.9  # score of an instance found by an accepted pattern: a seed like those of the base rules, but weaker
+
+
+def patterns(occ: DataFrame, rounds: int = 8, least: float = 0.8, seeds: int = 5) -> DataFrame:
     """Confident ``(pattern, kind)`` by iterative scoring of the pattern-instance graph.
 
-    ``seeds``: distinct seed instances a pattern needs; one-word patterns need twice as many.
+    ``seeds``: distinct seed instances a pattern needs; one-word patterns need
+    twice as many. What an accepted pattern finds is a seed of the next round,
+    until neither the accepted patterns nor the confidences change (or ``rounds`` are over).
     """
     edge = cut(occ.groupBy("pattern", "instance").agg(
         F.min(F.when(~F.col("kind").startswith("?"), F.col("kind"))).alias("seed")))
     known = edge.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     members = edge.groupBy("pattern").agg(F.count("*").alias("members"))
-    score = known
-    for i in range(rounds):
+    need = F.when(F.col("pattern").startswith("1 "), 2 * seeds).otherwise(seeds)
+    score, before = known, None
+    for _ in range(rounds):
         conf = (edge.select("pattern", "instance").join(score, "instance")
                 .groupBy("pattern", "kind").agg(F.sum("score").alias("mass"),
-                                                F.sum((F.col("score") == 1.0).cast("int")).alias("n_seeds"))
+                                                F.sum((F.col("score") >= SURE).cast("int")).alias("n_seeds"))
                 .join(members, "pattern").withColumn("conf", F.col("mass") / (F.col("members") + 1)))
-        conf = cut(conf.where(F.col("conf") >= 0.3))
-        if i + 1 < rounds:
-            fresh = (edge.where("seed is null").select("pattern", "instance").join(conf, "pattern")
-                     .groupBy("instance", "kind").agg((F.max("conf") * 0.99).alias("score"))
-                     .join(known.select("instance"), "instance", "left_anti"))
-            score = cut(known.unionByName(fresh))
-    need = F.when(F.col("pattern").startswith("1 "), 2 * seeds).otherwise(seeds)
-    return conf.where((F.col("conf") >= least) & (F.col("n_seeds") >= need)).select("pattern", F.col("kind").alias("as_kind"))
+        conf = cut(conf.where(F.col("conf") >= 0.3).withColumn("accepted", (F.col("conf") >= least) & (F.col("n_seeds") >= need)))
+        now = conf.agg(F.count(F.when(F.col("accepted"), 1)), F.round(F.sum("conf"), 1)).first()
+        if now == before:
+            break
+        before = now
+        worth = F.when(F.col("accepted"), F.lit(SURE)).otherwise(F.least(F.col("conf"), F.lit(SURE - 0.01)))
+        fresh = (edge.where("seed is null").select("pattern", "instance").join(conf.withColumn("worth", worth), "pattern")
+                 .groupBy("instance", "kind").agg(F.max("worth").alias("score"))
+                 .join(known.select("instance"), "instance", "left_anti"))
+        score = cut(known.unionByName(fresh))
+    return conf.where("accepted").select("pattern", F.col("kind").alias("as_kind"))
 
 
 def discovered(occ: DataFrame, confident: DataFrame) -> DataFrame:
