@@ -8,8 +8,8 @@ the stages, so tests hold them against brute force.
 
 Defined results: rows with null text are rejected by the quality stage; rows
 without doc_id are not compared for near-duplicates and stay; of rows that
-repeat a doc_id one stays (the smallest text hash); an empty table gives an
-empty table.
+repeat a doc_id and its text one stays, unlike texts under one doc_id all stay;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -57,9 +57,10 @@ def good_quality(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
     rows, cols, back = _guarded(docs)
-    kept = minhash.near_duplicates(rows).where("kept").select("doc_id").distinct()
-    chosen = (rows.join(kept, "doc_id").groupBy("doc_id")
-              .agg(F.min_by(F.struct(*[c for c in cols if c != "doc_id"]), F.xxhash64("text")).alias("row"))
+    kept = minhash.representatives(rows).withColumnRenamed("tk", "text__hash")
+    chosen = (rows.withColumn("text__hash", F.xxhash64("text")).join(kept, ["doc_id", "text__hash"])
+              .groupBy("doc_id", "text__hash")  # repeated rows
+              .agg(F.min_by(F.struct(*[c for c in cols if c != "doc_id"]), F.xxhash64(*cols)).alias("row"))
               .select("doc_id", "row.*"))
     return back(chosen.select(*cols).unionByName(rows.where("doc_id is null")))
 
