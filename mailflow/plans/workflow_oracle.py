@@ -57,6 +57,8 @@ SELECT *, CAST(sum(total) OVER (ORDER BY lote) - 1 AS BIGINT) AS atual FROM (
 SQL["reply_upsert_ranges"] = O.SQL["reply_upsert"]
 SQL["filing_update_ranges"] = O.SQL["filing_update"]
 
+SQL["stream_validation_log"] = O.SQL["stream_validation"]
+
 # -- scorer ------------------------------------------------------------------------------
 _CALL = "CASE WHEN id_email % 11 = 4 THEN 'tempo esgotado' WHEN id_email % 13 = 6 THEN 'sem resposta do avaliador' END"
 SQL["scored_verdicts"] = f"""

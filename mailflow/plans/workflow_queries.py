@@ -24,6 +24,7 @@ from ..sinks.partitioned import read_ranges, upsert_ranges, write_ranges
 from ..sinks.tables import export_report, write_outcome_log
 from ..sources.fixtures import stored_fixtures
 from ..sources.mailparse import as_bundle, render_raw_mail
+from ..streaming import caselog as CL
 from ..streaming import mailbox as MB
 from .queries import REPORT_FROM, REPORT_TO, SENDER, _as_of
 
@@ -183,10 +184,22 @@ def outcome_log(spark, sf_dir):
     return spark.read.schema("tipo string, mensagem string, timestamp string").json(path)
 
 
+def stream_validation_log(spark, sf_dir):
+    """R2: validation as a stream whose new cases are deltas beside the base."""
+    t = stored_fixtures(spark, sf_dir)
+    base = write_ranges(conform_to(t.protocolos, schemas.PROTOCOLOS), scratch_path(spark, f"casos-{uuid.uuid4().hex}"),
+                        "id_email", RANGE_KEYS)
+    log = f"{base}-deltas"
+    CL.run_validation(spark, f"{t.base}/emails", base, log, t.anexos_email, t.ia_respostas, _as_of(),
+                      F.lit(1000000) + F.col("id_email"), RANGE_KEYS)
+    new = CL.open_deltas(spark, log, "protocolos").drop("lote", "faixa")
+    return new.select(*[f.name for f in schemas.PROTOCOLOS.fields])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         raw_capture_emails, raw_capture_attachments, raw_capture_quality, raw_capture_outcomes, raw_capture_progress,
         reply_upsert_ranges, filing_update_ranges, scored_verdicts, case_detail_rows, validation_backlog_page,
-        validation_backlog_day,        report_export, outcome_log,
+        validation_backlog_day,        report_export, outcome_log, stream_validation_log,
     ]
 }
