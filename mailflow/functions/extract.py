@@ -25,7 +25,8 @@ FINAL_STATUS_RE = r"(RESPOSTA FINAL|RESPOSTA PARCIAL|DILAÇÃO|RESPOSTA MONITORA
 STRICT_CASE_NUMBER_RE = r"\d{7}-\d{2}\.\d{4}\.\d{1,2}\.\d{1,2}\.\d{4}"
 STRICT_ORDER_NUMBER_RE = r"\b\d{7}\b"
 # Date header layout accepted by the capture ("Mon, 01 Jan 2024 10:00:00 +0000").
-DATE_HEADER_RE = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$"
+DATE_HEADER_RE = (r"(?i)^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{1,2} [A-Z]{3} \d{4} \d{1,2}:\d{2}:\d{2} "
+                  r"(?:[+-]\d{2}:?\d{2}|Z)$")
 DATE_HEADER_CUT = 31
 # -----------------------------------------------------------------------------
 
@@ -113,11 +114,14 @@ def received_time(header, fallback) -> Column:
     """parse a mail date header, else the fallback timestamp.
 
     The header is cut to its first 31 characters and must then be exactly
-    ``Www, d Mon yyyy HH:mm:ss +zzzz``; anything else falls back. The instant is
-    returned as a UTC wall-clock ``TIMESTAMP_NTZ`` (session zone UTC).
+    ``Www, d Mon yyyy HH:mm:ss zone``, with a day's name and a zone as ``+hhmm``,
+    ``+hh:mm`` or ``Z``; anything else falls back. The instant is returned as a UTC wall-clock ``TIMESTAMP_NTZ`` (session zone UTC).
     """
     cut = F.substring(_col(header), 1, DATE_HEADER_CUT)
     no_weekday = F.regexp_replace(cut, r"^[A-Za-z]{3}, ", "")
+    no_weekday = F.regexp_replace(F.regexp_replace(no_weekday, r"(\d{2}):(\d{2})$", "$1$2"), r"(?i)Z$", "+0000")
+    no_weekday = F.concat(F.regexp_extract(no_weekday, r"^(\d+ )", 1), F.initcap(F.regexp_extract(no_weekday, r"^\d+ (\w{3})", 1)),
+                          F.regexp_extract(no_weekday, r"^\d+ \w{3}(.*)$", 1))
     parsed = F.try_to_timestamp(no_weekday, F.lit("d MMM yyyy H:mm:ss Z"))
     ok = cut.rlike(DATE_HEADER_RE)
     # The session zone is UTC (see session.BASE_CONF), so the cast yields UTC.

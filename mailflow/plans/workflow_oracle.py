@@ -73,6 +73,21 @@ SELECT id_email, erro_chamada,
 FROM (SELECT e.id_email, {_CALL.replace("id_email", "e.id_email")} AS erro_chamada, e.id_email % 3 AS k FROM emails e
   WHERE e.tipo_email = 'protocolo' AND NOT EXISTS (SELECT 1 FROM protocolos p WHERE p.id_email = e.id_email)) b"""
 
+# -- identifiers in the attachments ------------------------------------------------------
+_NORM = "NULLIF(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')"
+_TOKENS = r"list_concat(regexp_extract_all({0}, '(?i)(?:FNDA|DILA)[-–:/\s]{{0,3}}\d{{6,}}|\d(?:[.\-/\s]?\d)*'), regexp_extract_all({0}, '\d+'))"
+SQL["identifier_evidence"] = f"""
+WITH m AS (SELECT id_email, {O.case_number_sql(O.TEXT)} AS processo, {O.opaj_sql(O.TEXT)} AS opaj, {O.ident_sql(O.TEXT)} AS identificador FROM emails),
+found AS (SELECT DISTINCT id_email, {_NORM.format("x")} AS token FROM (
+  SELECT id_email, unnest({_TOKENS.format("nome_arquivo")}) AS x FROM anexos_email
+  UNION ALL SELECT a.id_email, unnest({_TOKENS.format("c.conteudo")}) AS x FROM anexos_conteudo c JOIN anexos_email a ON a.id_anexo = c.id_anexo) t),
+checks AS (SELECT m.*,
+  CASE WHEN processo IS NOT NULL THEN (id_email, {_NORM.format("processo")}) IN (SELECT (id_email, token) FROM found) END AS processo_ok,
+  CASE WHEN opaj IS NOT NULL THEN (id_email, {_NORM.format("opaj")}) IN (SELECT (id_email, token) FROM found) END AS opaj_ok,
+  CASE WHEN identificador IS NOT NULL THEN (id_email, {_NORM.format("identificador")}) IN (SELECT (id_email, token) FROM found) END AS identificador_ok
+  FROM m)
+SELECT *, coalesce(processo_ok, TRUE) AND coalesce(opaj_ok, TRUE) AND coalesce(identificador_ok, TRUE) AS ids_ok FROM checks"""
+
 # -- case detail, backlog page, report and log files -------------------------------------
 SQL["case_detail_rows"] = """
 SELECT id_email, 'email' AS secao, id_email AS id, assunto, remetente, recebido_em, corpo_email, NULL AS status_final,

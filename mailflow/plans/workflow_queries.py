@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import extract as X
 from ..functions import verdict as V
 from ..operators import boards as B
 from ..operators import capture as K
+from ..operators import evidence as EV
 from ..operators import upsert as U
 from ..operators import validation as VA
 from ..operators.upsert import conform_to
@@ -196,10 +198,20 @@ def stream_validation_log(spark, sf_dir):
     return new.select(*[f.name for f in schemas.PROTOCOLOS.fields])
 
 
+def identifier_evidence(spark, sf_dir):
+    """F20 with text: identifiers of the mails looked for in attachment names and contents."""
+    t = stored_fixtures(spark, sf_dir)
+    mails = X.extract_fields(t.emails).select("id_email", "processo", "opaj", "identificador")
+    texts = (t.anexos_conteudo.join(t.anexos_email.select("id_anexo", "id_email"), "id_anexo")
+             .select("id_email", F.col("conteudo").cast("string").alias("texto")))
+    return EV.identifier_evidence(mails, t.anexos_email, texts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         raw_capture_emails, raw_capture_attachments, raw_capture_quality, raw_capture_outcomes, raw_capture_progress,
         reply_upsert_ranges, filing_update_ranges, scored_verdicts, case_detail_rows, validation_backlog_page,
         validation_backlog_day,        report_export, outcome_log, stream_validation_log,
+        identifier_evidence,
     ]
 }

@@ -117,3 +117,35 @@ def test_case_detail_rows_are_ordered_and_restricted(spark, tables):
     assert sum(r.secao == "email" for r in rows) == 3 and any(r.secao == "anexo" for r in rows)
     plan = B.case_detail_rows(tables.emails, tables.respostas, tables.anexos_email, tables.protocolos)
     assert "rangepartitioning(id_email" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+# -- identifiers in attachments ---------------------------------------------------------
+def test_identifiers_are_matched_in_names_and_text(spark):
+    from mailflow.operators.evidence import extension_asked, identifier_evidence
+    case = "0000123-45.1998.8.26.0001"
+    mails = spark.createDataFrame(
+        [(1, case, "77", "FNDA-000123", "DILAÇÃO"), (2, case, None, "DILA-654321", "DILAÇÃO"), (3, None, None, None, None),
+         (4, " ", "", "--", "RESPOSTA FINAL"), (5, case, "77", None, None)],
+        "id_email long, processo string, opaj string, identificador string, status_final string")
+    names = spark.createDataFrame(
+        [(1, "Minuta 0000123 45.1998.8.26-0001.pdf"), (1, "opaj_77_fnda 000123.pdf"), (2, "minuta dila654321.pdf"),
+         (5, "minuta 1770 00001234519988260001.pdf"), (5, None), (9, "FNDA-000123")], "id_email long, nome_arquivo string")
+    texts = spark.createDataFrame([(2, f"processo {case}"), (1, "pede Dilação de prazo de 10 dias"), (5, None)],
+                                  "id_email long, texto string")
+    cols = ["processo_ok", "opaj_ok", "identificador_ok", "ids_ok"]
+    got = {r.id_email: tuple(r[c] for c in cols) for r in identifier_evidence(mails, names).collect()}
+    assert got == {1: (True, True, True, True), 2: (False, None, True, False), 3: (None, None, None, True),
+                   4: (None, None, None, True), 5: (True, False, None, False)}  # 77 inside 1770 is no match
+    got = {r.id_email: r.ids_ok for r in identifier_evidence(mails, names, texts).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False}
+    got = {r.id_email: r.pedido_ok for r in extension_asked(mails, texts).collect()}
+    assert got == {1: True, 2: False, 3: None, 4: None, 5: None}
+
+
+def test_received_time_zones_and_weekdays(spark):
+    from mailflow.functions.extract import received_time
+    heads = ["Thu, 02 May 1996 10:00:00 -0300", "thu, 2 may 1996 10:00:00 -03:00", "Thu, 02 May 1996 13:00:00 Z",
+             "Xyz, 02 May 1996 10:00:00 -0300", "Thu, 02 May 1996 10:00:00", "Thu, 02 Foo 1996 10:00:00 +0000", None]
+    df = spark.createDataFrame([(h,) for h in heads], "h string")
+    got = [str(r.t) for r in df.select(received_time("h", F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("t")).collect()]
+    assert got == ["1996-05-02 13:00:00"] * 3 + ["2026-01-01 00:00:00"] * 4
