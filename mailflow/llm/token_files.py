@@ -78,12 +78,24 @@ class Encoder:
         return [np.array(e.ids, "<u2").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _segments(self, keys: list[str]) -> list[bytes]:
+        """Ids of segments by their keys, encoded as the lines of one text: a line end is a token of its own here."""
+        if not keys:
+            return []
+        lines = [s if s[0] == "\n" else "\n " + s for s in keys]
+        ids = np.frombuffer(self.whole(["".join(lines)])[0], "<u2")
+        at = np.flatnonzero(ids == np.frombuffer(self.line, "<u2")[0]) if len(self.line) == 2 else ids[:0]
+        if len(at) != len(keys):  # a tokenizer that splits otherwise
+            return self.whole([s if s[0] == "\n" else " " + s for s in keys])
+        flat, at = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
+        return [flat[a if s[0] == "\n" else a + 2:b] for s, a, b in zip(keys, at, at[1:])]
+
     def _learn(self, new: set[str]) -> None:
         """Ids of new segments; a word is looked up without the punctuation behind it."""
         split = {s: m.groups() for s in new if (m := ENDING.fullmatch(s))}
         words = [s for s in (new - split.keys()).union(a for a, _ in split.values()) if s not in self.known]
         ends = list({b for _, b in split.values()} - self.endings.keys())
-        self.known.update(zip(words, self.whole([s if s[0] == "\n" else " " + s for s in words])))
+        self.known.update(zip(words, self._segments(words)))
         self.endings.update(zip(ends, self.whole(ends)))
         self.known.update((s, self.known[a] + self.endings[b]) for s, (a, b) in split.items())
 
