@@ -48,6 +48,7 @@ MAGIC = b"IDMIX001"
 FOOT = struct.Struct("<QQQI8s")  # place of the index, its bytes, blocks, crc32 of the index
 FILE_IDS = mixcoder.BLOCK * mixcoder.LANES
 END = 0
+TOGETHER = 1 << 21  # characters of texts encoded at once; a longer text is encoded alone
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNEVEN = re.compile(f"^[{SPACES}]|[{SPACES}]$|[ \\n][{SPACES}]|[{SPACES}][ \\n]")
@@ -62,7 +63,7 @@ class Encoder:
     stand for the segment with a space in front.
     """
 
-    SEGMENTS = 800_000
+    SEGMENTS = 500_000
     LONGEST = 48  # characters of a segment that is remembered
 
     def __init__(self, path: str):
@@ -122,6 +123,18 @@ class Encoder:
         return out
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Slices of about ``TOGETHER`` characters: the segments of one slice are held at a time."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > TOGETHER:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     """One for all tasks of a worker, so that its memory stays warm."""
@@ -136,7 +149,7 @@ def encode_texts(documents: DataFrame, tokenizer: str) -> DataFrame:
         end = struct.pack("<H", END)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [x + end for x in encode(texts)]
+            ids = [x + end for i, j in _slices(texts) for x in encode(texts[i:j])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "h", "ids"])
