@@ -24,6 +24,8 @@ FINAL_STATUS_RE = r"(RESPOSTA FINAL|RESPOSTA PARCIAL|DILAÇÃO|RESPOSTA MONITORA
 # Strict forms: full case number with 1-2 digit court parts; 7-digit word.
 STRICT_CASE_NUMBER_RE = r"\d{7}-\d{2}\.\d{4}\.\d{1,2}\.\d{1,2}\.\d{4}"
 STRICT_ORDER_NUMBER_RE = r"\b\d{7}\b"
+# Branch and court inside a full case number.
+COURT_RE = r"^\d{7}-\d{2}\.\d{4}\.(\d\.\d{2})\.\d{4}$"
 # Date header layout accepted by the capture ("Mon, 01 Jan 2024 10:00:00 +0000").
 DATE_HEADER_RE = (r"(?i)^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{1,2} [A-Z]{3} \d{4} \d{1,2}:\d{2}:\d{2} "
                   r"(?:[+-]\d{2}:?\d{2}|Z)$")
@@ -51,6 +53,14 @@ def case_number(text) -> Column:
                       F.regexp_substr(t, F.lit(U + DIGIT_RUN_RE)))
 
 
+def court(number) -> Column:
+    """Branch and court (``8.26``) of a case number, written out or as 20 digits; else NULL."""
+    n = _col(number)
+    long, plain = F.regexp_extract(n, COURT_RE, 1), F.regexp_extract(n, r"^\d{13}(\d)\d{6}$", 1)
+    return F.coalesce(F.nullif(long, F.lit("")),
+                      F.when(plain != "", F.concat(plain, F.lit("."), F.substring(n, 15, 2))))
+
+
 def case_kind(text) -> Column:
     """'CNJ' when the long form matched, 'ADMINISTRATIVO' for digits only."""
     t = _col(text)

@@ -49,7 +49,8 @@ def parse_verdict(df: DataFrame, text: str = "conteudo") -> DataFrame:
     Valid JSON objects give their fields (missing list defaults to empty);
     anything else -- bad JSON, or JSON that is not an object -- gives
     ``valido`` NULL, an empty missing list, action ``aguardar`` and the raw
-    (stripped) text in the reason.
+    (stripped) text in the reason. Of a repeated key the last value counts
+    where the session allows such keys (``session.BASE_CONF``).
     """
     # Parse once: the text is unfenced and parsed in one projection, the
     # fields are read from the parsed value in the next.

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import has_suffix
 from ..functions.display import capitalize_first
+from ..functions.extract import court
 from .common import (asc_nf, bounded, desc_nf, given, in_date_range, left_join_bounded,
                      materialize_page, on_date, optional_filters, restrict_to, top_k)
+from .ranking import rank_within
 
 DEFAULT_TYPE = "protocolo"
 LISTING_LIMIT = 200
@@ -211,9 +213,12 @@ def board_count(board: DataFrame) -> DataFrame:
 # -- P4 T4 -------------------------------------------------------------------
 def report_rows(emails: DataFrame, protocolos: DataFrame, respostas: DataFrame,
                 data_inicio=None, data_fim=None, status=None, tipo_email=DEFAULT_TYPE,
-                reply_key: str = "id_resposta", sort: bool = True) -> DataFrame:
+                reply_key: str = "id_resposta", sort: bool = True, tribunal: str | None = None) -> DataFrame:
     """Cases in a received-date range with mail and reply fields.
 
+    ``tribunal`` (P14) keeps the cases whose reply names a case number of that
+    court (``8.26``); the filter is on the replies, before their join.
+
     Fully sorted (newest case first) only when ``sort``; an export sink
     should pass ``sort=False`` and partition the files instead.
     """
@@ -223,7 +228,9 @@ def report_rows(emails: DataFrame, protocolos: DataFrame, respostas: DataFrame,
     p = optional_filters(protocolos, status=status)
     rows = p.join(e, "id_email", "inner")
     r = _replies(respostas, ("tipo_resposta", "processo", "opaj"), reply_key)
-    rows = rows.join(r, rows[reply_key] == r["_rkey"], "left").drop("_rkey")
+    if tribunal:
+        r = r.where(court("processo") == tribunal)
+    rows = rows.join(r, rows[reply_key] == r["_rkey"], "inner" if tribunal else "left").drop("_rkey")
     if sort:
         rows = rows.orderBy(desc_nf("criado_em"), asc_nf("id_protocolo"))
     return rows
@@ -352,6 +359,17 @@ def attachment_names(anexos: DataFrame) -> DataFrame:
                           F.array_join(names, ", ").alias("nomes_texto"), "n_anexos")
 
 
+def attachment_name_rows(anexos: DataFrame) -> DataFrame:
+    """J13 in long form: each attachment name with its position in its mail.
+
+    Rows of one mail are numbered across tasks (``rank_within``), so a mail of
+    any number of attachments is neither one task's work nor one row.
+    """
+    ranked = rank_within(anexos.select("id_email", "id_anexo", "nome_arquivo"), "id_email",
+                         [F.col("id_anexo"), F.col("nome_arquivo")])
+    return ranked.select("id_email", "posicao", "id_anexo", "nome_arquivo")
+
+
 # -- J8 J9 P12 ---------------------------------------------------------------
 def reply_by_attachment(requests: DataFrame, respostas: DataFrame) -> DataFrame:
     """The (lowest) reply id referring to each requested attachment id."""
@@ -381,11 +399,13 @@ def attachment_lookup(requests: DataFrame, anexos: DataFrame, conteudo: DataFram
 
     Found only when the attachment exists *and* has non-empty content. The
     MIME type defaults to ``application/octet-stream``. Bytes are joined in
-    only when ``with_bytes`` (so listings never carry them).
+    only when ``with_bytes`` (so listings never carry them); a size stored
+    beside them (``tamanho``) is read in their place.
     """
     req = requests.select("id_anexo").distinct()
     meta = anexos.select("id_anexo", "nome_arquivo", "tipo_arquivo", F.lit(True).alias("_m"))
-    c = conteudo.select("id_anexo", F.length("conteudo").alias("tamanho"),
+    size = F.col("tamanho") if "tamanho" in conteudo.columns else F.length("conteudo")
+    c = conteudo.select("id_anexo", size.alias("tamanho"),
                         *(["conteudo"] if with_bytes else []))
     out = req.join(meta, "id_anexo", "left").join(c, "id_anexo", "left")
     size = F.coalesce(F.col("tamanho"), F.lit(0))

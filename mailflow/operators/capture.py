@@ -25,15 +25,26 @@ OUTCOME_SAVED = "salvo"
 OUTCOME_DUPLICATE = "duplicado"
 OUTCOME_IGNORED = "ignorado"
 OUTCOME_FAILED = "falha"
+# Parts of a From header that hold no address: a quoted name, a comment.
+QUOTED_NAME_RE = r'"(?:[^"\\]|\\.)*"(?!@)'
+COMMENT_RE = r"\([^()]*\)"
 # -----------------------------------------------------------------------------
 
 
 def address_part(from_header) -> Column:
     """The address of a ``From`` header: inside ``<...>`` when present, else
-    the trimmed header (as ``email.utils.parseaddr`` reads simple headers)."""
+    the first address of the header without its comments.
+
+    Quoted display names and comments in parentheses (one inside another at
+    most) are no part of an address, whatever signs they hold; a quoted local
+    part (``"a b"@c``) is.
+    """
     h = F.col(from_header) if isinstance(from_header, str) else from_header
-    inside = F.nullif(F.regexp_extract(h, r"<([^<>]*)>", 1), F.lit(""))
-    return F.coalesce(inside, F.trim(h))
+    bare = F.regexp_replace(h, QUOTED_NAME_RE, " ")
+    for _ in range(2):
+        bare = F.regexp_replace(bare, COMMENT_RE, " ")
+    inside = F.nullif(F.trim(F.regexp_extract(bare, r"<([^<>]*)>", 1)), F.lit(""))
+    return F.coalesce(inside, F.trim(F.regexp_extract(bare, r'^((?:"[^"]*"|[^,"])*)', 1)))
 
 
 def sender_filter(landed: DataFrame, address: str, col: str = "remetente") -> DataFrame:

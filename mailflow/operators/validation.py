@@ -36,11 +36,14 @@ def backlog_requests(emails: DataFrame, protocolos: DataFrame, anexos: DataFrame
               .withColumn("prompt", verdict_prompt())
 
 
-def verdicts_from_text(requests: DataFrame, texts: DataFrame, order: str = "conteudo") -> DataFrame:
+def verdicts_from_text(requests: DataFrame, texts: DataFrame, order: str | None = None) -> DataFrame:
     """Parse scorer output ``(id_email, conteudo)`` for each request.
 
-    Of several texts for one mail the last by ``order`` counts.
+    Of several texts for one mail the last by ``order`` (a time or sequence)
+    counts; without one, by ``recebido_em`` or ``seq`` where the texts carry
+    it. Texts that agree in it, or carry neither, are told apart by content.
     """
+    order = order or next((c for c in ("recebido_em", "seq") if c in texts.columns), "conteudo")
     last = last_per_key(texts.select("id_email", "conteudo", F.col(order).alias("_at")), "id_email", ["_at"])
     return parse_verdict(requests.join(last.select("id_email", "conteudo"), "id_email", "inner"),
                          "conteudo").drop("conteudo")

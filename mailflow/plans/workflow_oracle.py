@@ -121,3 +121,25 @@ SELECT CASE WHEN resultado = 'falha' THEN 'ERROR' ELSE 'INFO' END AS tipo, 'E-ma
 
 def oracle_sql() -> dict[str, str]:
     return {name: O.with_fixtures(sql) for name, sql in SQL.items()}
+
+# -- courts, names in long form, sender headers, repeated keys ---------------------------
+SQL["report_by_court"] = """
+SELECT p.*, e.assunto, e.remetente, e.recebido_em, e.tipo_email, r.tipo_resposta, r.processo, r.opaj
+FROM protocolos p JOIN emails e ON e.id_email = p.id_email JOIN respostas r ON r.id_resposta = p.id_resposta
+WHERE e.tipo_email = 'protocolo' AND CAST(e.recebido_em AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'
+  AND split_part(r.processo, '.', 3) || '.' || split_part(r.processo, '.', 4) = '8.26'
+ORDER BY p.criado_em DESC NULLS FIRST, p.id_protocolo"""
+
+SQL["court_totals"] = """
+SELECT CASE WHEN processo IS NOT NULL THEN split_part(processo, '.', 3) || '.' || split_part(processo, '.', 4) END AS tribunal,
+  count(*) AS n_respostas, count(DISTINCT processo) AS n_processos FROM respostas GROUP BY 1"""
+
+SQL["attachment_name_rows"] = """
+SELECT id_email, row_number() OVER (PARTITION BY id_email ORDER BY id_anexo, nome_arquivo) AS posicao, id_anexo, nome_arquivo
+FROM anexos_email"""
+
+SQL["sender_forms"] = """
+SELECT seq, lower(remetente) AS endereco FROM captura WHERE lower(remetente) = 'respostas@example.com'"""
+
+SQL["verdict_repeated_keys"] = f"""
+SELECT id_email, valido, coerencia, motivo, acao_sugerida, erro_ia FROM ({O.PARSED}) v"""

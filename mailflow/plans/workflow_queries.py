@@ -30,7 +30,7 @@ from ..streaming import caselog as CL
 from ..streaming import mailbox as MB
 from .queries import REPORT_FROM, REPORT_TO, SENDER, _as_of
 
-WAVES = 3
+WAVES, COURT = 3, "8.26"
 _runs: dict[tuple[str, str, str], object] = {}
 
 
@@ -207,11 +207,47 @@ def identifier_evidence(spark, sf_dir):
     return EV.identifier_evidence(mails, t.anexos_email, texts)
 
 
+def report_by_court(spark, sf_dir):
+    """The report of one court."""
+    t = stored_fixtures(spark, sf_dir)
+    return B.report_rows(t.emails, t.protocolos, t.respostas, REPORT_FROM, REPORT_TO, tribunal=COURT)
+
+
+def court_totals(spark, sf_dir):
+    """Cases per court of the replies; the counts are combined before the shuffle."""
+    r = stored_fixtures(spark, sf_dir).respostas.withColumn("tribunal", X.court("processo"))
+    return r.groupBy("tribunal").agg(F.count(F.lit(1)).alias("n_respostas"), F.count_distinct("processo").alias("n_processos"))
+
+
+def attachment_name_rows(spark, sf_dir):
+    """J13 in long form: names with their positions, whatever the number in a mail."""
+    return B.attachment_name_rows(stored_fixtures(spark, sf_dir).anexos_email)
+
+
+def sender_forms(spark, sf_dir):
+    """The accepted sender written bare, with a name, a comment or a quoted name that holds another address."""
+    a, k = F.col("remetente"), F.col("seq") % 5
+    header = (F.when(k == 0, a).when(k == 1, F.concat(F.lit("Setor <"), a, F.lit(">")))
+              .when(k == 2, F.concat(a, F.lit(" (Setor (norte))")))
+              .when(k == 3, F.concat(F.lit('"Vara <x@y.z>" <'), a, F.lit(">")))
+              .otherwise(F.concat(F.lit("(cópia) "), a)))
+    landed = stored_fixtures(spark, sf_dir).captura.select("seq", header.alias("remetente"))
+    return K.sender_filter(landed, SENDER).select("seq", F.lower(K.address_part("remetente")).alias("endereco"))
+
+
+def verdict_repeated_keys(spark, sf_dir):
+    """texts whose JSON repeats a key; the last value counts."""
+    ia = stored_fixtures(spark, sf_dir).ia_respostas
+    twice = F.replace("conteudo", F.lit('"motivo": '), F.lit('"motivo": "antes", "motivo": '))
+    p = V.parse_verdict(ia.withColumn("conteudo", twice), "conteudo")
+    return p.select("id_email", "valido", "coerencia", "motivo", "acao_sugerida", "erro_ia")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         raw_capture_emails, raw_capture_attachments, raw_capture_quality, raw_capture_outcomes, raw_capture_progress,
         reply_upsert_ranges, filing_update_ranges, scored_verdicts, case_detail_rows, validation_backlog_page,
-        validation_backlog_day,        report_export, outcome_log, stream_validation_log,
-        identifier_evidence,
+        validation_backlog_day, report_export, outcome_log, stream_validation_log,
+        identifier_evidence, report_by_court, court_totals, attachment_name_rows, sender_forms, verdict_repeated_keys,
     ]
 }

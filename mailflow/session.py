@@ -12,10 +12,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every session used with the library should carry. They are
-# correctness settings (time zone) or scale settings (AQE re-planning, skew
+# correctness settings (time zone, the last of repeated JSON keys counts) or scale settings (AQE re-planning, skew
 # splitting) and are safe on a 1000-executor cluster as well as local mode.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -99,13 +99,14 @@ class FixtureTables:
 
     @cached_property
     def anexos_conteudo(self) -> DataFrame:
-        """Attachment bytes keyed by id_anexo; line 7 carries an empty payload."""
+        """Attachment bytes and their size keyed by id_anexo; line 7 carries an empty payload."""
         li = self.driver("lineitem").select("l_orderkey", "l_linenumber").distinct()
         ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
         payload = F.when(ln == 7, F.lit("")).otherwise(
             F.concat(F.lit("%PDF-fixture "), _s(ok), F.lit("-"), _s(ln)))
         return li.select((ok * 10 + ln).alias("id_anexo"),
-                         F.encode(payload, "UTF-8").alias("conteudo"))
+                         F.encode(payload, "UTF-8").alias("conteudo"),
+                         F.octet_length(payload).alias("tamanho"))
 
     # -- cases and replies ----------------------------------------------------
     @cached_property
@@ -288,7 +289,7 @@ class StoredFixtures:
     A deployment keeps its data-model tables stored; this does the same for
     the derived test tables, so queries measure the operators rather than the
     derivation. The store lives under the shared checkpoint folder and is
-    keyed by the source files' sizes and modification times.
+    keyed by the source files' sizes and modification times and the derivation.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, base: str):
@@ -311,7 +312,9 @@ def _fs(spark: SparkSession, path: str):
 
 def _source_key(spark: SparkSession, sf_dir: str) -> str:
     import hashlib
+    import inspect
     h = hashlib.sha256(sf_dir.rstrip("/").encode())
+    h.update(inspect.getsource(FixtureTables).encode())  # another derivation is another store
     for name in ("orders", "lineitem", "customer", "events"):
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         for st in fs.listStatus(p):
