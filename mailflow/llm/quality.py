@@ -4,9 +4,12 @@ Each text gives counts (words, symbols, repeated lines, repeated three-word
 windows, capitals, signs that are no letters) that become a vector of
 transformed statistics: log mean word length and square roots of shares. Per
 language and source a minimum-covariance-determinant estimate is found by
-concentration steps over all its documents: start from medians and quartiles, keep
-the ``support`` share of documents that are nearest, take their mean and
-covariance, repeat. A document whose squared Mahalanobis distance exceeds
+concentration steps over all its documents: keep the ``support`` share of documents
+that are nearest, take their mean and covariance, repeat. Every group has three
+starts (medians and quartiles; the covariance of signs about the medians; a few
+documents chosen by hash), each takes ``race`` steps, and the one whose covariance
+has the smallest determinant goes on until no group's determinant falls by more
+than ``CLOSE``. A document whose squared Mahalanobis distance exceeds
 a chi-square quantile is rejected. Each step is a Spark aggregation of fixed-size
 sums, with partial sums before the shuffle, so a hot source is no single task's work.
 
@@ -42,6 +45,9 @@ STATS = ("x0", "x1", "x2", "x3", "x4", "x5")
 FLOOR = (0.08, 0.06, 0.10, 0.15, 0.10, 0.10)
 NOISE = (1.0, 1.0, 1.0, 3.0, 1.0, 1.0)
 D = len(STATS)
+FEW = 2 * (D + 1)  # documents of the start chosen by hash
+CLOSE = 0.01  # of the determinant's logarithm
+BINS = 32  # of distances, an octave
 
 
 def repeat_words(ws: list[bytes]) -> int:
@@ -121,7 +127,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 def _inverse(factor: float):
-    """Rows of sums -> count, centre, covariance and inverse of the floored covariance, per group."""
+    """Rows of sums -> count, centre, covariance, inverse of the floored covariance and the log of its determinant."""
     def run(batches):
         for b in batches:
             out = []
@@ -134,11 +140,15 @@ def _inverse(factor: float):
                 cov = (q / n - np.outer(c, c)) * factor
                 w, v = np.linalg.eigh(cov)
                 cov = v @ np.diag(np.maximum(w, 0)) @ v.T
-                out.append((r.g, n, c.tolist(), cov.ravel().tolist(), _precision(cov)))
-            yield pd.DataFrame(out, columns=["g", "n", "c", "v", "p"])
+                out.append((r.g, r.start, n, c.tolist(), cov.ravel().tolist(), _precision(cov),
+                            float(np.linalg.slogdet(cov + np.diag(np.square(FLOOR)))[1])))
+            yield pd.DataFrame(out, columns=["g", "start", "n", "c", "v", "p", "det"])
     return run
 
 
+ESTIMATE = "g string, start int, n double, c array<double>, v array<double>, p array<double>, det double"
+
+
 def _precision(cov: np.ndarray) -> list[float]:
     return np.linalg.inv(cov + np.diag(np.square(FLOOR))).ravel().tolist()
 
@@ -178,10 +188,10 @@ def _distance() -> Column:
 
 
 def _sums(rows: DataFrame) -> DataFrame:
-    """Per group g: count, sums and products; fixed size, so partial sums are small."""
+    """Per group g and start: count, sums and products; fixed size, so partial sums are small."""
     pairs = [F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i in range(D) for j in range(i, D)]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in STATS]).alias("s"),
-                                 F.array(*pairs).alias("q"))
+    return rows.groupBy("g", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in STATS]).alias("s"),
+                                          F.array(*pairs).alias("q"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -202,23 +212,71 @@ def _start(rows: DataFrame) -> DataFrame:
         F.array(*[one("v", i) if i == j else zero for i in range(D) for j in range(D)]).alias("p"))
 
 
-def estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
+def _signs(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """Covariance of the signs about the medians: each document's direction counts, not how far it is."""
+    z = [(F.col(x) - F.col("c")[i]) * F.sqrt(F.col("p")[i * D + i]) for i, x in enumerate(STATS)]
+    far = F.greatest(F.sqrt(sum((x * x for x in z), F.lit(0.0))), F.lit(1e-6))
+    signs = (rows.join(sized_broadcast(middle.select("g", "c", "p"), 20_000), "g")
+             .withColumn("far", far).select("g", F.lit(1).alias("start"), *[(x / F.col("far")).alias(n) for x, n in zip(z, STATS)]))
+
+    def back(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                q = np.zeros((D, D))
+                q[np.triu_indices(D)] = np.array(r.q, float) * D / max(float(r.n), 1.0)  # of unit scale where nothing correlates
+                scale = 1 / np.sqrt(np.diag(np.array(r.p, float).reshape(D, D)))
+                cov = (q + np.triu(q, 1).T) * np.outer(scale, scale)
+                out.append((r.g, r.start, list(r.c), _precision(cov)))
+            yield pd.DataFrame(out, columns=["g", "start", "c", "p"])
+
+    return (_sums(signs).join(middle.select("g", "c", "p"), "g")
+            .mapInPandas(back, "g string, start int, c array<double>, p array<double>"))
+
+
+def _few(rows: DataFrame, factor: float) -> DataFrame:
+    """Centre and covariance of about ``FEW`` documents of each group, chosen by a hash of their statistics."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    u = F.pmod(F.xxhash64(*STATS), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(sized_broadcast(cut(sizes), 20_000), "g").where(u * F.col("size") < FEW)
+    return _sums(chosen.withColumn("start", F.lit(2))).mapInPandas(_inverse(factor), ESTIMATE).select("g", "start", "c", "p")
+
+
+def _step(rows: DataFrame, now: DataFrame, support: float, factor: float) -> DataFrame:
+    """One concentration step of every group and start: the estimate of the nearest ``support`` share."""
+    d = (rows.join(sized_broadcast(now.select("g", "start", "c", "p"), 20_000), "g")  # a row for each start
+         .withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * BINS)).select("g", "start", "bin", *STATS))
+    per = d.groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("g", "start").orderBy("bin")
+    edge = (per.select("g", "start", "bin", F.sum("n").over(w).alias("upto"),
+                       F.sum("n").over(Window.partitionBy("g", "start")).alias("all"))
+            .where(F.col("upto") >= F.lit(support) * F.col("all"))
+            .groupBy("g", "start").agg(F.min("bin").alias("edge")))
+    near = d.join(sized_broadcast(cut(edge), 20_000), ["g", "start"]).where("bin <= edge")  # a hot group stays in its tasks
+    return cut(_sums(near).mapInPandas(_inverse(factor), ESTIMATE))
+
+
+def estimates(rows: DataFrame, support: float = 0.75, race: int = 2, steps: int = 6) -> DataFrame:
     """Of each group ``g`` by concentration steps: count ``n`` of the nearest documents, their
-    centre ``c``, covariance ``v`` and the inverse ``p`` of the floored covariance."""
+    centre ``c``, covariance ``v``, the inverse ``p`` of the floored covariance and its ``det`` (log).
+
+    ``steps`` bounds all steps, the ``race`` among them.
+    """
     factor = support / _chi2_cdf(chi2_quantile(support, D), D + 2)
-    now = cut(_start(rows))
-    for _ in range(steps):
-        d = (rows.join(sized_broadcast(now.select("g", "c", "p"), 20_000), "g").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 8))
-             .select("g", "bin", *STATS))
-        per = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
-        w = Window.partitionBy("g").orderBy("bin")
-        edge = (per.select("g", "bin", F.sum("n").over(w).alias("upto"),
-                           F.sum("n").over(Window.partitionBy("g")).alias("all"))
-                .where(F.col("upto") >= F.lit(support) * F.col("all"))
-                .groupBy("g").agg(F.min("bin").alias("edge")))
-        near = d.join(sized_broadcast(cut(edge), 20_000), "g").where("bin <= edge")  # a hot group stays in its tasks
-        now = cut(_sums(near).mapInPandas(
-            _inverse(factor), "g string, n double, c array<double>, v array<double>, p array<double>"))
+    middle = cut(_start(rows))
+    now = cut(middle.select("g", F.lit(0).alias("start"), "c", "p")
+              .unionByName(_signs(rows, middle)).unionByName(_few(rows, factor)))
+    for _ in range(race):
+        now = _step(rows, now, support, factor)
+    # The smallest determinant stays (of equal ones the first start).
+    now = cut(now.groupBy("g").agg(F.min_by(F.struct("start", "n", "c", "v", "p", "det"), F.struct("det", "start")).alias("best"))
+              .select("g", "best.*"))
+    for _ in range(race, steps):
+        then, now = now, _step(rows, now, support, factor)
+        fall = (now.join(then.select("g", F.col("det").alias("was")), "g")
+                .agg(F.max(F.abs(F.col("was") - F.col("det"))).alias("most")).first()["most"])
+        if fall is None or fall <= CLOSE:
+            break
     return now
 
 

@@ -321,3 +321,43 @@ def test_mcd_ignores_outliers(spark):
                                "g string, n_words int, n_lines int, " + ", ".join(f"{s} double" for s in quality.STATS))
     c = quality.estimates(df).first()["c"]
     assert np.allclose(c, 0.5, atol=0.03)
+
+
+def _numpy_mcd(x, n_words, n_lines, support, starts, rng):
+    """Log determinant of the floored covariance after concentration steps, the best of many starts."""
+    noise = np.array(quality.NOISE) / (4 * np.square(quality.FLOOR))
+    shrink = np.sqrt(1 + noise / np.where(np.arange(6) == 2, n_lines, n_words))
+    factor = support / quality._chi2_cdf(quality.chi2_quantile(support, 6), 8)
+    h, best = int(np.ceil(support * len(x))), np.inf
+    for _ in range(starts):
+        c, v = (s := x[rng.choice(len(x), 8, replace=False)]).mean(0), np.cov(s.T, bias=True) * factor
+        for _ in range(30):
+            z = (x - c) / shrink
+            d = np.einsum("ij,jk,ik->i", z, np.linalg.inv(v + np.diag(np.square(quality.FLOOR))), z)
+            s = x[np.argsort(d, kind="stable")[:h]]
+            c, v = s.mean(0), np.cov(s.T, bias=True) * factor
+        best = min(best, np.linalg.slogdet(v + np.diag(np.square(quality.FLOOR)))[1])
+    return best
+
+
+def test_mcd_reaches_the_smallest_determinant_of_many_starts(spark):
+    rng = np.random.default_rng(11)
+    groups = {}
+    for g, share in (("clean", 0.0), ("some", 0.1), ("much", 0.22)):
+        mixer = rng.normal(0, 0.25, (6, 6))
+        x = rng.normal(0, 1, (600, 6)) @ mixer + 1
+        far = int(share * len(x))
+        x[:far] = x[:far] * 0.3 + rng.normal(4, 0.5, 6)
+        groups[g] = x
+    data = [(g, 100, 10, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(data, "g string, n_words int, n_lines int, " + ", ".join(f"{s} double" for s in quality.STATS))
+    got = {r.g: r.det for r in quality.estimates(df).collect()}
+    for g, x in groups.items():
+        assert got[g] <= _numpy_mcd(x, 100, 10, 0.75, 40, rng) + 0.15, g
+
+
+def test_mcd_of_tiny_groups(spark):
+    data = [("one", 60, 1, *[0.5] * 6), *[("same", 60, 1, *[0.1] * 6)] * 5]
+    df = spark.createDataFrame(data, "g string, n_words int, n_lines int, " + ", ".join(f"{s} double" for s in quality.STATS))
+    got = {r.g: (r.n, r.c) for r in quality.estimates(df).collect()}
+    assert got["one"][0] == 1 and np.allclose(got["one"][1], 0.5) and np.allclose(got["same"][1], 0.1)
