@@ -4,7 +4,7 @@ The model is a unigram model over the pieces of an existing vocabulary: a text
 is a sequence of pieces and an end, each drawn by its probability. The
 vocabulary's own scores give the first probabilities (they rank the pieces, so
 rank r starts at 1 / (r + 10)); they are then fitted to the training texts by
-expectation maximisation. A word's probability sums over all its
+expectation maximisation, in which they stay as a prior. A word's probability sums over all its
 segmentations: a forward recursion in log space over the word's bytes. Pieces
 never reach over white space, so a text's marginal probability is the product
 over its words and one end, and each distinct word is scored once.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, inf, log
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ from .repeats import POWERS
 from .sentencepiece_bpe import SPACE, model_path, read_pieces
 
 CHUNK_ROWS = 4096
+LONG, LONG_BLOCK = 512, 1 << 14  # bytes of a word scored by itself, and of it looked up together
 LOG10E = np.log10(np.e)
 FRONT = SPACE.encode()
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -80,12 +82,65 @@ class Lattice:
             out = np.where(keys[slot] == h, ids[slot], out)
         return out
 
+    def _ways(self, sums: np.ndarray, known: np.ndarray, lo: int, hi: int) -> list[list[tuple[int, int]]]:
+        """Of each end in (lo, hi] of one long word the ``(start, piece)`` pairs with a probability."""
+        _, down = POWERS.to(len(sums))
+        found: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
+        for size in self.lengths:
+            s, e = max(lo + 1 - size, 0), hi - size + 1
+            if s < e:
+                piece = self.find((sums[s + size:e + size] - sums[s:e]) * down[s:e])
+                for i in np.flatnonzero(known[piece] > -np.inf).tolist():
+                    found[s + i + size - lo - 1].append((s + i, int(piece[i])))
+        return found
+
+    def forward_long(self, word: np.ndarray, logp: np.ndarray, uses: np.ndarray | None = None, weight: float = 1.0) -> float:
+        """``forward`` of one word, and its expected uses: scalar steps over the pieces that are there.
+
+        A long word has few others of its length, so steps over arrays of words
+        would cost it hundreds of microseconds a byte. The pieces are looked up
+        block by block, once for each direction; beside a block's pieces a few
+        numbers a byte are held.
+        """
+        known, n = np.append(logp, -np.inf), len(word)
+        sums, lp = _prefix(word[None, :])[:, 0], known.tolist()
+        alpha, blocks = np.full(n + 1, -inf), [(s, min(s + LONG_BLOCK, n)) for s in range(0, n, LONG_BLOCK)]
+        reach = self.lengths[-1]
+        alpha[0] = 0.0
+        for lo, hi in blocks:
+            first = max(lo - reach, 0)  # no piece starts before it
+            a = alpha[first:hi + 1].tolist()
+            for end, at in enumerate(self._ways(sums, known, lo, hi), lo + 1):
+                ways = [a[s - first] + lp[p] for s, p in at]
+                most = max(ways, default=-inf)
+                if most > -inf:
+                    a[end - first] = most + log(sum([exp(w - most) for w in ways]))
+            alpha[lo + 1:hi + 1] = a[lo + 1 - first:]
+        if uses is not None and alpha[n] > -inf:
+            passes = np.zeros(n + 1)
+            passes[n] = weight
+            for lo, hi in reversed(blocks):
+                first = max(lo - reach, 0)
+                a, u = alpha[first:hi + 1].tolist(), passes[first:hi + 1].tolist()
+                found = self._ways(sums, known, lo, hi)
+                for end in range(hi, lo, -1):
+                    through = u[end - first]
+                    if through:
+                        for s, p in found[end - lo - 1]:
+                            one = through * exp(a[s - first] + lp[p] - a[end - first])
+                            u[s - first] += one
+                            uses[p] += one
+                passes[first:hi + 1] = u
+        return float(alpha[n])
+
     def forward(self, x: np.ndarray, logp: np.ndarray, edges: list | None = None) -> np.ndarray:
         """Log marginal probability of words of one length (rows of bytes), over all segmentations.
 
         Goes through the prefixes in log space. ``edges`` collects for each
         end: the starts, the pieces and each edge's share of the prefix.
         """
+        if edges is None and x.shape[1] > LONG:
+            return np.array([self.forward_long(w, logp) for w in x])
         sums, known = _prefix(x), np.append(logp, -np.inf)  # piece -1 has no probability
         alpha = np.full((x.shape[1] + 1, len(x)), -np.inf)
         alpha[0] = 0
@@ -104,6 +159,10 @@ class Lattice:
 
     def expected(self, x: np.ndarray, weight: np.ndarray, logp: np.ndarray, total: np.ndarray) -> None:
         """Adds the expected uses of each piece in words x, each seen ``weight`` times."""
+        if x.shape[1] > LONG:
+            for w, times in zip(x, weight.tolist()):
+                self.forward_long(w, logp, total, times)
+            return
         edges: list = []
         self.forward(x, logp, edges)
         passes = np.zeros((x.shape[1] + 1, len(x)))  # expected passes through each prefix
@@ -158,9 +217,13 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
     return list(ranks), np.log(weight / weight.sum())
 
 
-def fit(words: DataFrame, ends: int, lattice, logp: np.ndarray, rounds: int = 3, floor: float = 0.1) -> np.ndarray:
-    """Expectation maximisation over ``words(word, c)``; one row per piece comes back each round."""
-    spark = words.sparkSession
+def fit(words: DataFrame, ends: int, lattice, logp: np.ndarray, rounds: int = 3, prior: float = 1.0) -> np.ndarray:
+    """Expectation maximisation over ``words(word, c)``; one row per piece comes back each round.
+
+    The vocabulary's probabilities stay as a prior: each piece has been seen
+    ``prior`` times the number of pieces times its first probability before.
+    """
+    spark, before = words.sparkSession, prior * len(logp) * np.exp(logp)
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(logp)
 
@@ -175,7 +238,7 @@ def fit(words: DataFrame, ends: int, lattice, logp: np.ndarray, rounds: int = 3,
 
         got = (words.where("c > 0").mapInPandas(expect, "piece int, uses double")
                .groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas())
-        uses = np.full(lattice.value.size, floor)
+        uses = before.copy()
         uses[got["piece"].to_numpy(int)] += got["uses"].to_numpy(float)
         uses[-1] += ends
         logp = np.log(uses / uses.sum())
