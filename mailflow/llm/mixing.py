@@ -19,8 +19,8 @@ Quality: the share of letters among the characters that are no white space
 (square root weight), at least 0.05; a document without words weighs 0.05.
 Defined results: null text has size 0 and is never taken; a null source is a
 source of its own, last in order; a source of size 0 has target 0; an empty
-table gives no rows; equal keys are ordered by doc_id; other columns are not
-read.
+table gives no rows; equal keys are ordered by doc_id, then size, then the
+row's content; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, size: str = "size", weight: str = "quality", share: flo
     placed = keyed.join(sized_broadcast(ranges, 200_000),
                         F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("range")))
     clear = placed.where("side <> 0").withColumn("extra", F.when(F.col("side") > 0, 1).otherwise(0))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", size, F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
     border = (placed.where("side = 0")
               .withColumn("at", F.col("before") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
               .withColumn("extra", F.when(F.col("at") + F.col(size) / 2 <= F.col("rest"), 1).otherwise(0)).drop("at"))
@@ -107,3 +107,36 @@ def op7(documents: DataFrame) -> DataFrame:
     docs = stored(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                                    quality(F.col("text")).alias("quality")), "mixing")
     return mix(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+SQL = r"""
+WITH docs AS (
+ SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  coalesce(greatest(1 - length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g'))
+                        / nullif(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 0), 0.05), 0.05) AS quality
+ FROM documents),
+keyed AS (
+ SELECT *, -ln((CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), '7')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+               / 4503599627370496.0::DOUBLE) / quality AS key FROM docs),
+listed AS (
+ SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM docs GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][n % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM listed),
+filled AS (
+ SELECT *, row_number() OVER w AS k,
+  (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+   / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+ FROM weighed WINDOW w AS (ORDER BY cap / weight, n)),
+levels AS (SELECT min(k) AS k FROM filled WHERE cap > rate * weight),
+targets AS (
+ SELECT f.source, f.source_size,
+  CASE WHEN l.k IS NULL OR f.k < l.k THEN f.cap ELSE (SELECT rate FROM filled g WHERE g.k = l.k) * f.weight END AS target
+ FROM filled f, levels l),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets),
+placed AS (
+ SELECT k.*, p.source_size, p.target, p.epochs, greatest(p.target - p.epochs * p.source_size, 0) AS rest,
+  coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
+ FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+ CAST(size * (epochs + CASE WHEN upto + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed"""

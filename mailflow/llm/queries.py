@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op7_mixing": mixing.SQL,
     "op12_ranked_search": ranked_search.SQL,
     "op13_vector_codes": vector_codes.SQL,
 }

@@ -2,8 +2,11 @@
 
 import hashlib
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from mailflow.llm import embed_dedup, minhash, pii, recompression
+from mailflow.llm import embed_dedup, langid, lattice_lm, minhash, mixing, pii, recompression
 
 A = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 B = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
@@ -59,3 +62,58 @@ def test_pii_finds_lists_and_two_hops(spark):
     text, spans = rows[3 * n + 1], got[3 * n + 1].split(",")
     assert [text[int(s.split(":")[1]):int(s.split(":")[2])] for s in spans] == ["444-333-2221", "444-333-2222"]
     assert got[3 * n + 2] == ""
+
+
+def test_op1_sample_of_copies_and_null_ids(spark):
+    rows = [(None, "ein hund und eine katze", "de")] * 3000 + [(None, f"the dog and the cat {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample_docs=100)
+    assert model.classes == ["de", "en"]
+    found = [p[0] for p in model.predict(["ein hund und eine katze", "the dog and the cat 7"])]
+    assert found == ["de", "en"]
+
+
+def test_op1_sampled_buckets_are_bounded():
+    at, n = langid.heaviest((np.array([1, 5, 9, 12]), np.array([3, 7, 3, 7])), 3)
+    assert at.tolist() == [1, 5, 12] and n.tolist() == [3, 7, 7]
+
+
+def test_op2_long_words_agree_with_the_short_way(monkeypatch):
+    pieces, logp = lattice_lm.vocabulary()
+    lattice = lattice_lm.Lattice(pieces)
+    rng = np.random.default_rng(2)
+    word = ("".join(rng.choice(["the", "ing", "q", "é", "zz", "ation", "7"], 120))).encode()
+    x = np.frombuffer(word, np.uint8)[None, :]
+    short, long = np.zeros(lattice.size), np.zeros(lattice.size)
+    monkeypatch.setattr(lattice_lm, "LONG", 10**9)
+    one = lattice.forward(x, logp)
+    lattice.expected(x, np.array([3.0]), logp, short)
+    monkeypatch.setattr(lattice_lm, "LONG", 8)
+    monkeypatch.setattr(lattice_lm, "LONG_BLOCK", 50)
+    two = lattice.forward(x, logp)
+    lattice.expected(x, np.array([3.0]), logp, long)
+    assert np.allclose(one, two) and np.allclose(short, long)
+
+
+def test_op2_marginal_is_the_sum_over_all_segmentations():
+    pieces, logp = lattice_lm.vocabulary()
+    lattice, prob = lattice_lm.Lattice(pieces), dict(zip(pieces, np.exp(logp)))
+
+    def every(w):
+        return 1.0 if not w else sum(prob[w[:k]] * every(w[k:]) for k in range(1, len(w) + 1) if w[:k] in prob)
+
+    for w in (b"the", b"zqx", "né".encode(), b"banana"):
+        x = np.frombuffer(lattice_lm.FRONT + w, np.uint8)[None, :]
+        assert np.isclose(lattice.forward(x, logp)[0], np.log(every(lattice_lm.FRONT + w)))
+
+
+def test_op7_ties_are_settled_by_content(spark):
+    rows = [(i % 3, f"{'ab' * (1 + i % 4)} x{i}", "s") for i in range(60)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    two = spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(5)
+
+    def taken(d):
+        sized = d.withColumns({"size": F.regexp_count("text", F.lit(r"\S+")).cast("long"), "quality": F.lit(0.5)})
+        return sorted((r.text, r.taken) for r in mixing.mix(sized, share=0.7).collect())
+
+    assert taken(one) == taken(two)
