@@ -212,3 +212,19 @@ def near_vectors(table: DataFrame, vec: str = "embedding", cosine: float = 0.98,
 def op6(embeddings: DataFrame) -> DataFrame:
     """Contract query over every vector."""
     return near_vectors(embeddings)
+
+
+SQL = r"""
+WITH RECURSIVE good AS (
+ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (
+ SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+ WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+direct AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id,
+ e.vec_id <= coalesce(l.y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN low l ON l.x = e.vec_id LEFT JOIN direct d ON d.x = e.vec_id"""

@@ -305,3 +305,21 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def op3(documents: DataFrame) -> DataFrame:
     """Contract query over every whole text."""
     return near_duplicates(documents.select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+ SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+   ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS grams FROM words),
+members AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+ SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+ GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.y, s.doc_id)) AS component_id,
+ s.doc_id <= coalesce(l.y, s.doc_id) AS kept
+FROM sets s LEFT JOIN low l ON l.x = s.doc_id"""

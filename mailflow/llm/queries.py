@@ -34,7 +34,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_minhash": minhash.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
+    "op6_embedding_dedup": embed_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_recompression": recompression.SQL,
     "op12_ranked_search": ranked_search.SQL,
     "op13_vector_codes": vector_codes.SQL,
 }

@@ -188,3 +188,22 @@ def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = False) ->
 def op9(documents: DataFrame) -> DataFrame:
     """Contract query over every whole text."""
     return remove_repeats(documents.select("doc_id", "text"), ["doc_id"])
+
+
+SQL = r"""
+WITH words AS (
+ SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+ SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS content
+ FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words)),
+leads AS (SELECT content, min(doc_id) AS lead FROM windows GROUP BY content HAVING min(doc_id) < max(doc_id)),
+gone AS (
+ SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
+ FROM (SELECT w.doc_id, w.i FROM windows w JOIN leads l ON l.content = w.content AND w.doc_id > l.lead)),
+stays AS (
+ SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS kept, count(*) AS n
+ FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM words) p
+ WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce(s.n, 0) AS BIGINT) AS n_removed,
+ sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN stays s ON s.doc_id = w.doc_id"""

@@ -169,3 +169,30 @@ def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = False) ->
 def op5(documents: DataFrame) -> DataFrame:
     """Contract query over every whole text."""
     return remove_repeats(documents.select("doc_id", "text"), ["doc_id"])
+
+
+SQL = r"""
+WITH raw AS (
+ SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (
+ SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS content
+ FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM raw)),
+often AS (SELECT content FROM strings GROUP BY content HAVING count(*) > 1),
+starts AS (
+ SELECT s.doc_id, s.i, coalesce(s.i > 200 + lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i), TRUE) AS opens
+ FROM strings s SEMI JOIN often o ON o.content = s.content),
+runs AS (
+ SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi
+ FROM (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts) GROUP BY doc_id, run),
+pieces AS (
+ SELECT r.doc_id, r.lo, r.hi,
+  substr(raw.h, 2 * coalesce(lag(r.hi) OVER (PARTITION BY r.doc_id ORDER BY r.lo), 0) + 1,
+         2 * (r.lo - coalesce(lag(r.hi) OVER (PARTITION BY r.doc_id ORDER BY r.lo), 0))) AS piece
+ FROM runs r JOIN raw ON raw.doc_id = r.doc_id),
+cut AS (
+ SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS tail, string_agg(piece, '' ORDER BY lo) AS kept
+ FROM pieces GROUP BY doc_id)
+SELECT raw.doc_id, CAST(raw.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+ CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(c.kept, '') || substr(raw.h, 2 * coalesce(c.tail, 0) + 1))) AS kept_sha256
+FROM raw LEFT JOIN cut c ON c.doc_id = raw.doc_id"""
