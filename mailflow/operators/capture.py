@@ -64,6 +64,25 @@ def identified(landed: DataFrame) -> DataFrame:
     return landed.withColumn("message_id", F.coalesce(F.col("message_id"), made))
 
 
+def message_keys(landed: DataFrame, *cols: str) -> DataFrame:
+    """``message_id`` (made where there is none), ``seq`` and ``cols`` of landed messages.
+
+    Bodies are read for messages without an id alone: a scan of its own, to
+    which the test for null is pushed, so files whose messages all have ids
+    are left out of it by their statistics.
+    """
+    own = landed.where(F.col("message_id").isNotNull()).select("message_id", "seq", *cols)
+    made = identified(landed.where(F.col("message_id").isNull())).select("message_id", "seq", *cols)
+    return own.unionByName(made)
+
+
+def new_keys(landed: DataFrame, existing: DataFrame, address: str) -> DataFrame:
+    """``message_id, seq`` of the messages that ``new_messages`` gives, without their bodies."""
+    first = (message_keys(sender_filter(landed, address))
+             .groupBy("message_id").agg(F.min("seq").alias("seq")))
+    return first.join(existing.select("message_id").distinct(), "message_id", "left_anti")
+
+
 def new_messages(landed: DataFrame, existing: DataFrame, address: str) -> DataFrame:
     """J7 + N1: accepted messages not yet stored, first occurrence per id.
 
@@ -91,7 +110,7 @@ def keyed_emails(new: DataFrame) -> DataFrame:
 
 
 def stored_attachments(new: DataFrame, parts: DataFrame) -> DataFrame:
-    """The attachment rows of new messages; empty parts are skipped."""
+    """The attachment rows of new messages (``new_keys`` will do); empty parts are skipped."""
     p = parts.filter(F.col("tamanho") > 0)
     return new.select("seq", "message_id", mail_key().alias("id_email")).join(p, "seq", "inner")
 
@@ -123,12 +142,11 @@ def outcomes(landed: DataFrame, existing: DataFrame, address: str,
              parse_error: str | None = None) -> DataFrame:
     """Per-message outcome: ignorado (sender), falha (parse error), duplicado
     (id stored before, or seen earlier in the pass), salvo."""
-    landed = identified(landed)
-    parsed = landed.where(F.col(parse_error).isNull()) if parse_error else landed
-    firsts = first_per_key(sender_filter(parsed, address).select("message_id", "seq"),
-                           "message_id", [F.col("seq")]).withColumnRenamed("seq", "_first")
+    keys = message_keys(landed, "remetente", *([parse_error] if parse_error else []))
+    parsed = keys.where(F.col(parse_error).isNull()) if parse_error else keys
+    firsts = sender_filter(parsed, address).groupBy("message_id").agg(F.min("seq").alias("_first"))
     known = existing.select("message_id").distinct().withColumn("_known", F.lit(True))
-    m = landed.join(firsts, "message_id", "left").join(known, "message_id", "left")
+    m = keys.join(firsts, "message_id", "left").join(known, "message_id", "left")
     accepted = F.lower(address_part("remetente")) == F.lit(address.lower())
     failed = F.col(parse_error).isNotNull() if parse_error else F.lit(False)
     outcome = (F.when(failed, F.lit(OUTCOME_FAILED))
@@ -148,7 +166,7 @@ def summary(landed: DataFrame, existing: DataFrame, address: str,
     counts = landed.agg(F.count(F.when(~failed, F.lit(1))).alias("_total"),
                         F.count(F.when(acc & ~failed, F.lit(1))).alias("_acc"),
                         F.count(F.when(failed, F.lit(1))).alias("_failed"), none.alias("_saved"))
-    saved = new_messages(landed.where(~failed), existing, address).agg(
+    saved = new_keys(landed.where(~failed), existing, address).agg(
         none.alias("_total"), none.alias("_acc"), none.alias("_failed"), F.count(F.lit(1)).alias("_saved"))
     # Two one-row aggregates folded into one row (no join needed).
     out = counts.unionByName(saved).agg(*[F.max(c).alias(c) for c in ("_total", "_acc", "_failed", "_saved")])

@@ -363,7 +363,7 @@ def capture_emails(spark, sf_dir):
 
 def capture_attachments(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return K.stored_attachments(K.new_messages(t.captura, t.emails, SENDER), t.captura_anexos)
+    return K.stored_attachments(K.new_keys(t.captura, t.emails, SENDER), t.captura_anexos)
 
 
 def capture_quality_failures(spark, sf_dir):

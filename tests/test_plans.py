@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailflow.operators import boards as B
+from mailflow.operators import capture as K
 from mailflow.operators.common import desc_nf, on_date, optional_filters, top_k
 from mailflow.sources.fixtures import stored_fixtures
 
@@ -44,3 +45,14 @@ def test_attachment_counts_combine_map_side(spark):
     t = stored_fixtures(spark, SF_SMALL)
     plan = _plan(B.attachment_counts(t.anexos_email))
     assert "partial_count" in plan
+
+
+def test_outcomes_read_bodies_of_messages_without_an_id_alone(spark, scratch):
+    t = stored_fixtures(spark, SF_SMALL)
+    existing = t.emails.select("message_id")
+    for df in (K.outcomes(t.captura, existing, "a@b.c"), K.summary(t.captura, existing, "a@b.c"), K.new_keys(t.captura, existing, "a@b.c")):
+        plan = _plan(df)
+        scans = [s.split("\n\n")[0] for s in plan.split("Scan parquet")[1:] if "ReadSchema" in s.split("\n\n")[0]]
+        wide = [s for s in scans if "corpo_email" in s.split("ReadSchema")[1]]
+        assert len(scans) > len(wide) > 0
+        assert all("IsNull(message_id)" in s for s in wide)

@@ -20,6 +20,8 @@ def test_mails_without_an_id_are_kept_apart(spark):
     existing = spark.createDataFrame([("<z>",)], "message_id string")
     new = K.new_messages(landed.where("erro is null"), existing, TO)
     assert sorted(r.seq for r in new.collect()) == [1, 2, 5]
+    keys = K.new_keys(landed.where("erro is null"), existing, TO)
+    assert sorted(map(tuple, keys.collect())) == sorted((r.message_id, r.seq) for r in new.collect())
     got = {r.seq: r.resultado for r in K.outcomes(landed, existing, TO, "erro").collect()}
     assert got == {1: "salvo", 2: "salvo", 3: "duplicado", 4: "falha", 5: "salvo", 6: "ignorado"}
     assert K.summary(landed, existing, TO, "erro").first().asDict() == {
