@@ -192,7 +192,7 @@ def stream_validation_log(spark, sf_dir):
     base = write_ranges(conform_to(t.protocolos, schemas.PROTOCOLOS), scratch_path(spark, f"casos-{uuid.uuid4().hex}"),
                         "id_email", RANGE_KEYS)
     log = f"{base}-deltas"
-    CL.run_validation(spark, f"{t.base}/emails", base, log, t.anexos_email, t.ia_respostas, _as_of(),
+    CL.run_validation(spark, t.store("emails"), base, log, t.anexos_email, t.ia_respostas, _as_of(),
                       F.lit(1000000) + F.col("id_email"), RANGE_KEYS)
     new = CL.open_deltas(spark, log, "protocolos").drop("lote", "faixa")
     return new.select(*[f.name for f in schemas.PROTOCOLOS.fields])

@@ -281,10 +281,33 @@ DERIVED_TABLES = ("emails", "anexos_email", "anexos_conteudo", "protocolos", "re
 SORT_KEYS = {"emails": "recebido_em", "protocolos": "id_email", "respostas": "id_resposta",
              "anexos_email": "id_email", "anexos_conteudo": "id_anexo", "captura": "seq",
              "validacoes": "id_resposta"}
+# The source column each of these keys grows with.
+SOURCE_KEYS = {"emails": "o_orderdate", "protocolos": "o_orderkey", "respostas": "o_orderkey",
+               "anexos_email": "l_orderkey", "anexos_conteudo": "l_orderkey", "captura": "event_id",
+               "validacoes": "user_id"}
+FILE_ROWS = 1_000_000  # about the most rows that one task sorts and writes
+
+
+class ClusteredFixtures(FixtureTables):
+    """The same derivations over source rows that are put into ranges of ``key`` first.
+
+    The source's few columns are shuffled instead of the derived ones, and the
+    number of ranges grows with the source.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, key: str):
+        super().__init__(spark, sf_dir)
+        self.key = key
+
+    def driver(self, name: str) -> DataFrame:
+        df = super().driver(name)
+        n = -(-df.count() // FILE_ROWS)
+        few = n <= self.spark.sparkContext.defaultParallelism  # AQE chooses the number
+        return df.repartitionByRange(self.key) if few else df.repartitionByRange(n, self.key)
 
 
 class StoredFixtures:
-    """The derived tables written once per source folder and read back.
+    """The derived tables, each written once per source folder when it is first used, and read back.
 
     A deployment keeps its data-model tables stored; this does the same for
     the derived test tables, so queries measure the operators rather than the
@@ -294,13 +317,30 @@ class StoredFixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str, base: str):
         self.spark, self.sf_dir, self.base = spark, sf_dir, base
+        self._stored: set[str] = set()
 
     def driver(self, name: str) -> DataFrame:
         return read_driver(self.spark, self.sf_dir, name)
 
+    def store(self, name: str) -> str:
+        """Writes a table unless it is there (a ``_SUCCESS`` marker); gives its path."""
+        path = f"{self.base}/{name}"
+        if name not in self._stored:
+            fs, marker = _fs(self.spark, f"{path}/_SUCCESS")
+            if not fs.exists(marker):
+                key = SORT_KEYS.get(name)
+                if key is None:
+                    df = getattr(FixtureTables(self.spark, self.sf_dir), name)
+                else:
+                    df = getattr(ClusteredFixtures(self.spark, self.sf_dir, SOURCE_KEYS[name]), name)
+                    df = df.sortWithinPartitions(key)
+                df.write.mode("overwrite").parquet(path)
+            self._stored.add(name)
+        return path
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in DERIVED_TABLES:
-            return self.spark.read.parquet(f"{self.base}/{name}")
+            return self.spark.read.parquet(self.store(name))
         raise AttributeError(name)
 
 
@@ -326,26 +366,13 @@ _STORED: dict[tuple[str, str], StoredFixtures] = {}
 
 
 def stored_fixtures(spark: SparkSession, sf_dir: str) -> StoredFixtures:
-    """Write every derived table once (idempotent: a table with a _SUCCESS
-    marker is reused) and return readers over the stored copies."""
+    """Readers over the stored copies of the derived tables, which are written as they are needed."""
     from ..session import scratch_path
 
     app = spark.sparkContext.applicationId
     hit = _STORED.get((app, sf_dir))
     if hit is not None:
         return hit
-    base = scratch_path(spark, f"fixtures/{_source_key(spark, sf_dir)}")
-    derived = FixtureTables(spark, sf_dir)
-    for name in DERIVED_TABLES:
-        path = f"{base}/{name}"
-        fs, marker = _fs(spark, f"{path}/_SUCCESS")
-        if fs.exists(marker):
-            continue
-        df = getattr(derived, name)
-        key = SORT_KEYS.get(name)
-        if key is not None:
-            df = df.repartitionByRange(key).sortWithinPartitions(key)
-        df.write.mode("overwrite").parquet(path)
-    out = StoredFixtures(spark, sf_dir, base)
+    out = StoredFixtures(spark, sf_dir, scratch_path(spark, f"fixtures/{_source_key(spark, sf_dir)}"))
     _STORED[(app, sf_dir)] = out
     return out

@@ -47,7 +47,7 @@ def run_validation_stream(spark: SparkSession, tables, as_of: Column,
     replies_log = scratch_path(spark, f"{name}/respostas_log")
     ckpt = scratch_path(spark, f"{name}/_checkpoint")
     tables.protocolos.write.parquet(cases_path)
-    mails_path = f"{tables.base}/emails"
+    mails_path = tables.store("emails")
     schema = spark.read.parquet(mails_path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(mails_path)
     anexos = tables.anexos_email
