@@ -22,7 +22,7 @@ from ..operators import upsert as U
 from ..operators import validation as VA
 from ..operators.upsert import conform_to
 from ..session import scratch_path
-from ..sinks.partitioned import read_ranges, upsert_ranges, write_ranges
+from ..sinks.partitioned import range_width, read_ranges, upsert_ranges, write_ranges
 from ..sinks.tables import export_report, write_outcome_log
 from ..sources.fixtures import stored_fixtures
 from ..sources.mailparse import as_bundle, render_raw_mail
@@ -98,18 +98,19 @@ def raw_capture_progress(spark, sf_dir):
 
 
 # -- upserts of touched ranges ---------------------------------------------------------
-RANGE_KEYS = 5000
+RANGE_KEYS = 5000  # keys of a range at least
 BACKLOG_DAY = "1995-07-21"
 
 
 def reply_upsert_ranges(spark, sf_dir):
     """W4 into a table kept in key ranges; only those of the new replies are rewritten."""
     t = stored_fixtures(spark, sf_dir)
-    path = write_ranges(conform_to(t.respostas, schemas.RESPOSTAS), scratch_path(spark, f"respostas-{uuid.uuid4().hex}"),
-                        "id_email", RANGE_KEYS)
+    stored = conform_to(t.respostas, schemas.RESPOSTAS)
+    width = range_width(stored, "id_email", RANGE_KEYS)
+    path = write_ranges(stored, scratch_path(spark, f"respostas-{uuid.uuid4().hex}"), "id_email", width)
     requests = VA.backlog_requests(t.emails, t.protocolos, t.anexos_email)
     rows = VA.reply_rows(VA.verdicts_from_text(requests, t.ia_respostas), _as_of())
-    upsert_ranges(spark, path, rows, "id_email", VA.REPLY_UPDATE_COLS, RANGE_KEYS,
+    upsert_ranges(spark, path, rows, "id_email", VA.REPLY_UPDATE_COLS, width,
                   new_key=F.lit(2000000) + F.col("id_email"), key_col="id_resposta")
     return read_ranges(spark, path).drop("faixa").withColumn("erros", F.array_join("erros", ",")) \
         .withColumn("nomes_anexos", F.array_join("nomes_anexos", ","))
@@ -118,11 +119,12 @@ def reply_upsert_ranges(spark, sf_dir):
 def filing_update_ranges(spark, sf_dir):
     """W7 (update only) into a table kept in key ranges."""
     t = stored_fixtures(spark, sf_dir)
-    path = write_ranges(t.protocolos, scratch_path(spark, f"protocolos-{uuid.uuid4().hex}"), "id_protocolo", RANGE_KEYS)
+    width = range_width(t.protocolos, "id_protocolo", RANGE_KEYS)
+    path = write_ranges(t.protocolos, scratch_path(spark, f"protocolos-{uuid.uuid4().hex}"), "id_protocolo", width)
     last = U.last_per_key(t.filing_requests, "id_protocolo", [F.col("solicitado_em"), F.col("seq")])
     rows = last.select("id_protocolo", F.lit("protocolado").alias("acao_usuario"), F.col("usuario").alias("usuario_protocolo"),
                        F.col("solicitado_em").alias("protocolado_em"), F.col("nome_recibo").alias("recibo_protocolo"), "observacao")
-    upsert_ranges(spark, path, rows, "id_protocolo", [c for c in rows.columns if c != "id_protocolo"], RANGE_KEYS, insert=False)
+    upsert_ranges(spark, path, rows, "id_protocolo", [c for c in rows.columns if c != "id_protocolo"], width, insert=False)
     return read_ranges(spark, path).drop("faixa")
 
 
@@ -189,11 +191,12 @@ def outcome_log(spark, sf_dir):
 def stream_validation_log(spark, sf_dir):
     """R2: validation as a stream whose new cases are deltas beside the base."""
     t = stored_fixtures(spark, sf_dir)
-    base = write_ranges(conform_to(t.protocolos, schemas.PROTOCOLOS), scratch_path(spark, f"casos-{uuid.uuid4().hex}"),
-                        "id_email", RANGE_KEYS)
+    stored = conform_to(t.protocolos, schemas.PROTOCOLOS)
+    width = range_width(stored, "id_email", RANGE_KEYS)
+    base = write_ranges(stored, scratch_path(spark, f"casos-{uuid.uuid4().hex}"), "id_email", width)
     log = f"{base}-deltas"
     CL.run_validation(spark, t.store("emails"), base, log, t.anexos_email, t.ia_respostas, _as_of(),
-                      F.lit(1000000) + F.col("id_email"), RANGE_KEYS)
+                      F.lit(1000000) + F.col("id_email"), width)
     new = CL.open_deltas(spark, log, "protocolos").drop("lote", "faixa")
     return new.select(*[f.name for f in schemas.PROTOCOLOS.fields])
 

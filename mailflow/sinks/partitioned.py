@@ -22,6 +22,7 @@ from ..operators.upsert import upsert
 from ..session import scratch_path
 
 RANGE = "faixa"
+MOST_RANGES = 500  # folders of a table: its listing and each batch's files stay bounded
 
 
 def key_range(key: str, width: int) -> Column:
@@ -29,6 +30,12 @@ def key_range(key: str, width: int) -> Column:
     return F.coalesce(F.floor(F.col(key) / width), F.lit(-1)).cast("long")
 
 
+def range_width(df: DataFrame, key: str, least: int, most: int = MOST_RANGES) -> int:
+    """The width of a table's ranges: ``least`` keys, or the multiple of it that gives about ``most`` folders."""
+    ranges = df.select(key_range(key, least).alias(RANGE)).agg(F.count_distinct(RANGE)).first()[0]
+    return least * max(1, -(-ranges // most))
+
+
 def write_ranges(df: DataFrame, path: str, key: str, width: int) -> str:
     """Writes a table as folders of key ranges."""
     out = df.withColumn(RANGE, key_range(key, width))

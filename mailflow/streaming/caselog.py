@@ -26,6 +26,7 @@ from ..sinks.partitioned import RANGE, key_range, read_ranges, replace_partition
 from .mailbox import _read
 
 COMMITS, FOLDED = "lotes", "compactados"
+MOST_BATCHES = 4  # of a run over all mails
 
 
 def open_deltas(spark: SparkSession, log: str, table: str) -> DataFrame | None:
@@ -50,6 +51,13 @@ def current_cases(spark: SparkSession, base: str, log: str, ranges: list[int] |
     return stored.unionByName(new.select(*stored.columns))
 
 
+def case_mails(spark: SparkSession, base: str, log: str, ranges: list[int]) -> DataFrame:
+    """``id_email`` of the cases in some ranges of the base and the open deltas, repeats included."""
+    stored, new = read_ranges(spark, base, ranges), open_deltas(spark, log, "protocolos")
+    mails = stored.select("id_email")
+    return mails if new is None else mails.unionByName(new.where(F.col(RANGE).isin(ranges)).select("id_email"))
+
+
 def validate_batch(mails: DataFrame, lote: int, base: str, log: str, anexos: DataFrame, texts: DataFrame | None,
                    as_of: Column, new_case_key: Column, width: int) -> None:
     """Validates one micro-batch of mails; its delta and commit row are written once."""
@@ -60,14 +68,14 @@ def validate_batch(mails: DataFrame, lote: int, base: str, log: str, anexos: Dat
     mails = mails.checkpoint(eager=True)  # the batch's own rows: read by the lookups and the verdicts
     bounds = mails.agg(F.min("id_email").alias("lo"), F.max("id_email").alias("hi"),
                        F.collect_set(key_range("id_email", width)).alias("ranges")).first()  # ranges: at most the base's folders
-    cases = current_cases(spark, base, log, bounds.ranges).drop(RANGE)
+    cases = case_mails(spark, base, log, bounds.ranges)
     near = F.col("id_email").between(bounds.lo, bounds.hi) if bounds.lo is not None else F.lit(False)
     requests = VA.backlog_requests(mails, cases, anexos.where(near))
     verdicts = VA.verdicts_from_text(requests, texts.where(near)) if texts is not None else \
         VA.verdicts_from_rules(requests, anexos.where(near))
     verdicts = verdicts.checkpoint(eager=True)
     new = VA.protocol_rows(verdicts, cases, as_of, new_case_key).withColumn(RANGE, key_range("id_email", width))
-    new.write.mode("overwrite").partitionBy(RANGE).parquet(f"{log}/protocolos/lote={lote}")
+    new.repartition(RANGE).write.mode("overwrite").partitionBy(RANGE).parquet(f"{log}/protocolos/lote={lote}")
     VA.reply_rows(verdicts, as_of).write.mode("overwrite").parquet(f"{log}/respostas/lote={lote}")
     total = verdicts.agg(F.count(F.lit(1)).alias("validados"))
     total.coalesce(1).write.mode("overwrite").parquet(f"{log}/{COMMITS}/lote={lote}")
@@ -75,8 +83,15 @@ def validate_batch(mails: DataFrame, lote: int, base: str, log: str, anexos: Dat
 
 def run_validation(spark: SparkSession, mails_path: str, base: str, log: str, anexos: DataFrame, texts: DataFrame | None,
                    as_of: Column, new_case_key: Column, width: int, max_files: int = 2) -> None:
-    """Validates the mails that have been stored at ``mails_path`` since the last run."""
-    schema = spark.read.parquet(mails_path).schema
+    """Validates the mails that have been stored at ``mails_path`` since the last run.
+
+    A batch takes ``max_files`` files, or a share ``1 / MOST_BATCHES`` of all
+    where that is more: a batch whose mails lie in all ranges reads the keys of
+    the whole base, so the number of such readings must not grow with it.
+    """
+    mails = spark.read.parquet(mails_path)
+    schema = mails.schema
+    max_files = max(max_files, -(-len(mails.inputFiles()) // MOST_BATCHES))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(mails_path)
     q = (stream.writeStream
          .foreachBatch(lambda df, lote: validate_batch(df, lote, base, log, anexos, texts, as_of, new_case_key, width))

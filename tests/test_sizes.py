@@ -5,7 +5,11 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from mailflow import schemas
+from mailflow.operators.upsert import conform_to
+from mailflow.sinks.partitioned import RANGE, range_width, write_ranges
 from mailflow.sources.fixtures import DERIVED_TABLES, FixtureTables, stored_fixtures
+from mailflow.streaming import caselog as L
 
 from .conftest import SF_SMALL
 
@@ -40,3 +44,26 @@ def test_tables_stored_from_clustered_sources(spark, tables, scratch, monkeypatc
         per_file = stored.groupBy(F.input_file_name().alias("f")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
         spans = sorted((r.lo, r.hi) for r in per_file.collect())
         assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_ranges_are_bounded_in_number(spark, scratch):
+    df = spark.range(10_000).select(F.col("id").alias("k")).unionByName(spark.sql("select 10000000L k"))
+    assert range_width(df, "k", 10, most=2000) == 10
+    width = range_width(df, "k", 10, most=50)
+    path = write_ranges(df, f"{scratch}/t", "k", width)
+    assert width == 210 and len([d for d in os.listdir(path) if d.startswith(RANGE)]) <= 50
+    assert range_width(df.limit(0), "k", 10) == 10
+
+
+def test_batches_do_not_grow_with_the_mails(spark, tables, scratch):
+    base = write_ranges(conform_to(tables.protocolos, schemas.PROTOCOLOS), f"{scratch}/base", "id_email", 250)
+    tables.emails.repartition(24).write.parquet(f"{scratch}/mails")
+    log = f"{scratch}/log"
+    L.run_validation(spark, f"{scratch}/mails", base, log, tables.anexos_email, None, as_of(),
+                     F.lit(1000000) + F.col("id_email"), 250)
+    assert spark.read.parquet(f"{log}/lotes").count() == L.MOST_BATCHES
+    new = L.open_deltas(spark, log, "protocolos")
+    want = (tables.emails.where("tipo_email = 'protocolo'").join(tables.protocolos, "id_email", "left_anti"))
+    assert rows(new.select("id_email")) == rows(want.select("id_email"))
+    per_range = [len([f for f in fs if f.endswith(".parquet")]) for d, _, fs in os.walk(f"{log}/protocolos") if "faixa=" in d]
+    assert per_range and set(per_range) == {1}
