@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 100_000
 
 
+# Rows of one task of ``spread``: their sorts and groups take some 250 MB.
+SPREAD_ROWS = 500_000
+
+
+def spread_count(df: DataFrame) -> int | None:
+    """Partitions for ``spread`` of a large table; None where the session's setting will do."""
+    n = -(-df.count() // SPREAD_ROWS)
+    return n if n > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def spread(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """Rows by hash of ``key`` over ``n`` partitions, so that the memory of the tasks of joins and groups by
+    that key does not grow with the table, as it does with a fixed number or one chosen by packed bytes."""
+    return df if n is None else df.repartition(n, key)
+
+
 def given(value) -> bool:
     """Parameter truthiness of the listing endpoints: None and '' mean 'no filter'."""
     return value is not None and value != ""

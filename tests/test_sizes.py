@@ -6,6 +6,8 @@ import shutil
 from pyspark.sql import functions as F
 
 from mailflow import schemas
+from mailflow.operators import common
+from mailflow.operators import validation as VA
 from mailflow.operators.upsert import conform_to
 from mailflow.sinks.partitioned import RANGE, range_width, write_ranges
 from mailflow.sources.fixtures import DERIVED_TABLES, FixtureTables, stored_fixtures
@@ -67,3 +69,22 @@ def test_batches_do_not_grow_with_the_mails(spark, tables, scratch):
     assert rows(new.select("id_email")) == rows(want.select("id_email"))
     per_range = [len([f for f in fs if f.endswith(".parquet")]) for d, _, fs in os.walk(f"{log}/protocolos") if "faixa=" in d]
     assert per_range and set(per_range) == {1}
+
+
+def test_requests_and_rules_take_tasks_by_their_rows(spark, tables, scratch, monkeypatch):
+    tables.anexos_email.write.parquet(f"{scratch}/anexos")
+    anexos = spark.read.parquet(f"{scratch}/anexos")
+    assert common.spread_count(anexos) is None
+    want = [rows(f(tables, anexos)) for f in (_requests, _rules)]
+    monkeypatch.setattr(common, "SPREAD_ROWS", 100)
+    assert common.spread_count(anexos) == -(-anexos.count() // 100)
+    assert [rows(f(tables, anexos)) for f in (_requests, _rules)] == want
+    assert _requests(tables, anexos).rdd.getNumPartitions() >= common.spread_count(anexos)
+
+
+def _requests(t, anexos):
+    return VA.backlog_requests(t.emails, t.protocolos, anexos)
+
+
+def _rules(t, anexos):
+    return VA.verdicts_from_rules(_requests(t, anexos), anexos)
