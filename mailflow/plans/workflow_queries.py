@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -31,6 +31,7 @@ from ..streaming import mailbox as MB
 from .queries import REPORT_FROM, REPORT_TO, SENDER, _as_of
 
 WAVES, COURT = 3, "8.26"
+BUNDLE = 10_000  # messages of a landed file: a task holds a whole one
 _runs: dict[tuple[str, str, str], object] = {}
 
 
@@ -42,20 +43,22 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
 
 
 # -- capture of raw mail ------------------------------------------------------------
-def landed_mail(t) -> DataFrame:
-    """The landed messages as raw mail; some have no id, some a charset nobody knows."""
+def landed_mail(t, part: Column) -> DataFrame:
+    """The landed messages of ``part`` as raw mail; some have no id, some a charset nobody knows."""
     seq = F.col("seq")
-    odd = (t.captura.withColumn("message_id", F.when(seq % 17 != 3, F.col("message_id")))
+    odd = (t.captura.where(part).withColumn("message_id", F.when(seq % 17 != 3, F.col("message_id")))
            .withColumn("charset", F.when(seq % 23 == 5, F.lit("x-desconhecida")).otherwise(F.lit("utf-8"))))
-    return render_raw_mail(odd, t.captura_anexos).withColumn(
+    return render_raw_mail(odd, t.captura_anexos.where(part)).withColumn(
         "seq", F.regexp_extract("path", r"(\d+)\.eml$", 1).cast("long"))
 
 
 def land(spark: SparkSession, t, folder: str, wave: int) -> None:
     """Lands a third of the messages, in mailbox order, as bundles."""
-    last = t.captura.agg(F.max("seq").alias("_ultimo"))
-    raw = landed_mail(t).join(F.broadcast(last), F.floor(F.col("seq") * WAVES / (F.col("_ultimo") + 1)) == wave)
-    as_bundle(raw.repartitionByRange("seq").sortWithinPartitions("seq")).write.mode("append").text(folder)
+    last = t.captura.agg(F.max("seq")).first()[0]
+    start, end = (-(-w * ((-1 if last is None else last) + 1) // WAVES) for w in (wave, wave + 1))
+    raw = landed_mail(t, (F.col("seq") >= start) & (F.col("seq") < end))
+    as_bundle(raw.repartitionByRange("seq").sortWithinPartitions("seq")).write.mode("append") \
+        .option("maxRecordsPerFile", BUNDLE).text(folder)
 
 
 def _captured(spark: SparkSession, sf_dir: str) -> str:

@@ -1,6 +1,7 @@
 """Steps whose folders, batches, files and tasks must not outgrow the tables."""
 
 import os
+import re
 import shutil
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from mailflow import schemas
 from mailflow.operators import common
 from mailflow.operators import validation as VA
 from mailflow.operators.upsert import conform_to
+from mailflow.plans import workflow_queries as W
 from mailflow.sinks.partitioned import RANGE, range_width, write_ranges
 from mailflow.sources.fixtures import DERIVED_TABLES, FixtureTables, stored_fixtures
 from mailflow.streaming import caselog as L
@@ -88,3 +90,16 @@ def _requests(t, anexos):
 
 def _rules(t, anexos):
     return VA.verdicts_from_rules(_requests(t, anexos), anexos)
+
+
+def test_landed_files_hold_few_messages_in_mailbox_order(spark, tables, scratch, monkeypatch):
+    monkeypatch.setattr(W, "BUNDLE", 7)
+    seqs = []
+    for wave in range(W.WAVES):
+        folder = f"{scratch}/caixa{wave}"
+        W.land(spark, tables, folder, wave)
+        for name in sorted(f for f in os.listdir(folder) if f.endswith(".txt")):
+            found = [int(s) for s in re.findall(rb"boundary=\"==b(\d+)==\"", open(f"{folder}/{name}", "rb").read())]
+            assert len(found) <= 7
+            seqs += found
+    assert seqs == sorted(r.seq for r in tables.captura.select("seq").collect())
