@@ -76,11 +76,22 @@ class Lattice:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
-        out = np.full(h.shape, -1, np.int32)
+        flat = h.ravel()
+        out, left = np.full(len(flat), -1, np.int32), None  # left: places whose slot another piece has taken
         for t, (keys, ids) in enumerate(self.tables):
-            slot = self._slot(h, t)
-            out = np.where(keys[slot] == h, ids[slot], out)
-        return out
+            asked = flat if left is None else flat[left]
+            slot = self._slot(asked, t)
+            got, other = ids[slot], keys[slot] != asked
+            taken = np.flatnonzero(other & (got >= 0))
+            got[other] = -1
+            if left is None:
+                out, left = got, taken
+            else:
+                out[left] = got
+                left = left[taken]
+            if not len(left):
+                break
+        return out.reshape(h.shape)
 
     def _ways(self, sums: np.ndarray, known: np.ndarray, lo: int, hi: int) -> list[list[tuple[int, int]]]:
         """Of each end in (lo, hi] of one long word the ``(start, piece)`` pairs with a probability."""
