@@ -37,6 +37,7 @@ CREDIT = 4000  # with a decay of 1/16 the weights of a state stay below 2**16 -
 GROWN = np.array([1, 1, 1, 1, 1, 2, 3, 3], np.int32)  # confidence after a miss, then a hit, by confidence
 WORD = 24  # bits of a coded word; a range stays between 2**32 and 2**56
 LEAST = 1 << 32
+TILE = 64  # steps that are laid side by side at once
 KEEP = np.array([-1, LEAST - 1])
 HEAD = struct.Struct("<IIIII")  # ids, symbols, alphabet bytes, words, crc32 of the ids
 
@@ -51,6 +52,9 @@ class _Model:
     Arrays of two rows hold order 2 in the first and order 1 in the second.
     """
 
+    N2, N1 = np.arange(32, dtype=np.int32) >> 3, np.arange(32, dtype=np.int32) >> 1 & 3
+    START = np.stack([np.where(N2 > 0, 8000 + 7000 * N2, 256), np.where(N1 > 0, 6000 + 4000 * N1, 256)]).astype(np.int32)
+
     def __init__(self, sizes: np.ndarray):
         k, a = len(sizes), int(sizes.max())
         lane = np.arange(k, dtype=np.int64)
@@ -58,9 +62,7 @@ class _Model:
         self.counts = ((np.arange(a + 1) <= sizes[:, None]) & (np.arange(a + 1) > 0)).astype(np.int64)
         self.cum = np.zeros((k, a + 2), np.int32)
         self.seen = np.zeros(k * (a + 1 + SLOTS), np.int32)  # id << 2 | confidence, by context
-        n2, n1 = np.arange(32) >> 3, np.arange(32) >> 1 & 3
-        start = np.stack([np.where(n2 > 0, 8000 + 7000 * n2, 256), np.where(n1 > 0, 6000 + 4000 * n1, 256)])
-        self.weights = np.tile(start, (1, k)).reshape(-1).astype(np.int32)  # learned, by state
+        self.weights = np.tile(self.START, (1, k)).reshape(-1)  # learned, by state
         self.places = (np.stack([lane * SLOTS, k * SLOTS + lane * (a + 1)]), np.stack([lane * 32, k * 32 + lane * 32]),
                        lane * (a + 2), lane * (a + 1), (lane * ((1 << UNIT) + 1)).astype(np.int32))
         self.context = np.zeros((2, k), np.int64)
@@ -168,12 +170,12 @@ def _steps(lengths: np.ndarray):
 
 def _symbols(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted ids of a block and its ids as places in that list, from 1."""
-    table[ids] = 1
-    alphabet = np.flatnonzero(table)
+    ids = ids.astype(np.int64)
+    found = np.zeros(len(table), bool)
+    found[ids] = True
+    alphabet = np.flatnonzero(found)
     table[alphabet] = np.arange(1, len(alphabet) + 1)
-    symbols = table[ids]
-    table[alphabet] = 0
-    return alphabet, symbols
+    return alphabet, table.take(ids)
 
 
 def _packed(words: np.ndarray) -> bytes:
@@ -193,33 +195,145 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _repeats(context: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_Model`` predicts for each place of a block by one context, and its confidence.
+
+    Places sorted by context follow each other as the model visits its entry.
+    """
+    by = context.astype(np.uint16).argsort(kind="stable")
+    at, sym = context.take(by), s.take(by)
+    met = np.zeros(len(s), bool)
+    np.equal(at[1:], at[:-1], out=met[1:])
+    before = np.zeros_like(sym)
+    np.multiply(sym[:-1], met[1:], out=before[1:])
+    place = np.arange(len(s), dtype=np.int32)
+    run = place - np.maximum.accumulate(np.where(before == sym, 0, place))  # hits in a row up to here
+    sure = np.zeros(len(s), np.int32)
+    np.minimum(run[:-1] + 1, 3, out=sure[1:])
+    sure *= met
+    predicted, n = np.empty_like(before), np.empty_like(sure)
+    predicted[by], n[by] = before, sure
+    return predicted, n
+
+
+def _epochs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The steps at which the order-0 counts of ``n`` ids are accumulated, and the number of the last one by step."""
+    starts = np.array(sorted({0, 16, 32, 64, 128, *range(REFRESH, max(n, REFRESH), REFRESH)}))
+    return starts, (starts.searchsorted(np.arange(n), "right") - 1).astype(np.int32)
+
+
+def _block_steps(s: np.ndarray, a: int, starts: np.ndarray, epoch: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Order-0 start and width of each step, which order hits (2, 1 or 0), and the state of the weights."""
+    n = len(s)
+    p = np.zeros(n + 1, np.int32)
+    p[1:] = s
+    two = np.zeros(n, np.int64)
+    two[1:] = ((p[:-2].astype(np.int64) << 6 ^ p[1:-1]) * 40503 >> 3) & SLOTS - 1
+    c2, n2 = _repeats(two, s)
+    c1, n1 = _repeats(p[:-1], s)
+    hit = np.where(c2 == s, 2, c1 == s).astype(np.uint8)
+    state = ((n2 << 2) + n1 << 1) + (c2 == c1)
+    epoch = epoch[:n]
+    used = int(epoch[-1]) + 1
+    cell = epoch * (a + 1) + s.astype(np.int64)
+    found = np.bincount(cell, minlength=used * (a + 1)).astype(np.int32).reshape(used, a + 1)
+    counts = np.zeros_like(found)
+    np.cumsum(found[:-1], axis=0, out=counts[1:])
+    counts *= GAIN
+    counts[:, 1:] += 1
+    sums = np.cumsum(counts, axis=1, dtype=np.int32).reshape(-1)
+    scale = ((1 << 40) // (a + GAIN * starts[:used])).take(epoch)
+    low = (sums.take(cell - 1) * scale >> 40 - UNIT).astype(np.int32)
+    width = (sums.take(cell) * scale >> 40 - UNIT).astype(np.int32)
+    width -= low
+    return low, width, hit, state.astype(np.uint8)
+
+
+def _weights(hits: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of order 2 and order 1 at each place of ``hits``, which holds the places by block and state.
+
+    Every state of every block learns on its own, so all of them go side by side.
+    """
+    first = _Model.START[:, np.arange(len(lengths)) % 32]
+    order = np.argsort(-lengths, kind="stable")
+    place, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    v = first[:, order].astype(np.int32)
+    credit = np.array([[0, 0, CREDIT], [0, CREDIT, 0]], np.int32)
+    w2, w1 = np.empty(len(hits), np.uint8), np.empty(len(hits), np.uint8)
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
+    k = len(lengths)
+    for k_now in active.tolist():
+        if k_now < k:
+            k = k_now
+            v, place = v[:, :k].copy(), place[:k].copy()
+        w = v >> 8
+        w2[place], w1[place] = w
+        v -= v - 256 >> 4  # a weight never falls to nothing
+        v += credit.take(hits.take(place), axis=1)
+        place += 1
+    return w2, w1
+
+
+def _all_steps(symbols: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of every step of all blocks, a row each: what ``_Model`` gives step by step.
+
+    All symbols are known here, so each block's predictions are found at once.
+    """
+    n = len(symbols[0])
+    start, freq = np.zeros((len(symbols), n), np.int32), np.zeros((len(symbols), n), np.int32)
+    starts, epoch = _epochs(n)
+    orders, sorted_hits, lengths = [], [], []
+    for j, (s, a) in enumerate(zip(symbols, sizes)):
+        low, width, hit, state = _block_steps(s, a, starts, epoch)
+        by = state.argsort(kind="stable")
+        low.take(by, out=start[j, :len(s)], mode="clip")
+        width.take(by, out=freq[j, :len(s)], mode="clip")
+        sorted_hits.append(hit.take(by))
+        lengths.append(np.bincount(state, minlength=32))
+        orders.append(by.astype(np.uint16))
+    hits = np.concatenate(sorted_hits)
+    w2, w1 = _weights(hits, np.concatenate(lengths))
+    at = 0
+    for j, by in enumerate(orders):
+        part = slice(at, at + len(by))
+        at += len(by)
+        by = by.astype(np.int64)
+        a2, a1, hit = w2[part].astype(np.int32), w1[part].astype(np.int32), hits[part]
+        low, width = start[j, :len(by)], freq[j, :len(by)]  # still by state
+        both = a2 + a1
+        low = low * (256 - both) + (both << UNIT)
+        width = width * (256 - both)
+        a2 <<= UNIT
+        a1 <<= UNIT
+        for row, order, first, share in ((0, 1, a2, a1), (1, 2, 0, a2)):
+            np.copyto(low, first, where=hit == order)
+            np.copyto(width, share, where=hit == order)
+        start[j][by], freq[j][by] = low, width
+    return start, freq
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
     k, n = len(order), int(lengths[0])
-    table = np.zeros(max(int(b.max()) for b in blocks) + 1, np.int64)
-    alphabets, symbols = [], np.zeros((n, k), np.int64)
-    for j, i in enumerate(order):
+    table = np.zeros(max(int(b.max()) for b in blocks) + 1, np.int32)
+    alphabets, symbols = [], []
+    for i in order:
         alphabet, s = _symbols(blocks[i], table)
         alphabets.append(alphabet)
-        symbols[:len(s), j] = s
-    model = _Model(np.array([len(a) for a in alphabets]))
+        symbols.append(s)
+    starts, freqs = _all_steps(symbols, [len(a) for a in alphabets])
+    del symbols
     width = n + 4
     words, used = np.zeros(k * width, np.int32), np.arange(k, dtype=np.int64) * width
-    low, rng, done = np.zeros(k, np.int64), np.full(k, 1 << 56, np.int64), 0
-    for t, k, again in _steps(lengths):
-        if k < model.active:
-            model.resize(k)
-        if again:
-            model.refresh(t, symbols[done:t, :k])
-            done = t
-        s = symbols[t, :k]
-        model.predict()
-        start, freq = model.span(s)
+    low, rng = np.zeros(k, np.int64), np.full(k, 1 << 56, np.int64)
+    for t, k, _ in _steps(lengths):
+        if t % TILE == 0:
+            start, freq = starts[:, t:t + TILE].T.astype(np.int64), freqs[:, t:t + TILE].T.astype(np.int64)
         lo, rg, at = low[:k], rng[:k], used[:k]
         rg >>= STEP
-        lo += start * rg
-        rg *= freq
+        lo += start[t % TILE, :k] * rg
+        rg *= freq[t % TILE, :k]
         need = rg < LEAST  # one word is enough: a range never falls below 2**8
         words[at] = lo >> 32  # with its carry; overwritten where no word is due
         at += need
@@ -227,7 +341,6 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         lo &= KEEP.take(need.view(np.int8))
         lo <<= shift
         rg <<= shift
-        model.learn(s)
     for _ in range(3):
         words[used] = low >> 32
         used += 1

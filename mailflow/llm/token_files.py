@@ -26,6 +26,7 @@ not read. doc_id is an integer; ids fit 16 bits.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import uuid
@@ -48,12 +49,21 @@ MAGIC = b"IDMIX001"
 FOOT = struct.Struct("<QQQI8s")  # place of the index, its bytes, blocks, crc32 of the index
 FILE_IDS = mixcoder.BLOCK * mixcoder.LANES
 END = 0
-TOGETHER = 1 << 21  # characters of texts encoded at once; a longer text is encoded alone
+TOGETHER = 1 << 17  # characters of texts encoded at once, few enough for the caches; a longer text is encoded alone
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNEVEN = re.compile(f"^[{SPACES}]|[{SPACES}]$|[ \\n][{SPACES}]|[{SPACES}][ \\n]")
 EVEN = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
-ENDING = re.compile("(\\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~].*)", re.S)
+OTHER = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+WHITE = re.compile(f"[{SPACES}]")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+# A segment and a space: its word, where punctuation or nothing follows, and what is left of it.
+PARTS = re.compile(f"(\\n?[{LETTERS}]+(?=[!-/:-@\\[-`{{-~ ])|)([^ ]*) ")
+LETTER = re.compile(f"[{LETTERS}]")
+# Byte-level tokenizers write a byte as the character of its number, these excepted; here a space parts words and _ is one.
+_UNSEEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_NAMES = "".join(" " if b == 0x20 else "Ġ" if b == ord("_") else chr(0x100 + _UNSEEN.index(b) if b in _UNSEEN else b)
+                 for b in range(256))
 
 
 class Encoder:
@@ -74,11 +84,42 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.endings: dict[str, bytes] = {}
         self.line = self.whole(["\n"])[0]
+        self._plain()
+
+    def _plain(self) -> None:
+        """The library's model behind a splitter at spaces, for words that its own splitting leaves whole."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+        own = self.library
+        split = own.pre_tokenizer
+        self.model = None
+        if (isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+                and isinstance(own.model, models.BPE) and own.normalizer is None and len(self.line) == 2
+                and not any(LETTER.match(t.content) for t in own.get_added_tokens_decoder().values())):
+            self.model = Tokenizer(own.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            names = own.get_vocab()
+            self.n_bytes = np.zeros(max(names.values()) + 1, np.int64)  # by id; a character of its name is a byte
+            self.n_bytes[list(names.values())] = [len(t) for t in names]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, keys: list[str]) -> list[bytes]:
+        """Ids of the words of ``LETTERS`` that these keys stand for."""
+        if self.model is None or not keys:
+            return self._segments(keys)
+        text = " ".join(["_" + s if s[0] != "\n" else s[1:] for s in keys])
+        text = codecs.charmap_decode(text.encode(), "strict", _NAMES)[0]
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        sums = self.n_bytes.take(ids).cumsum()
+        ends = np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(keys)))
+        at = sums.searchsorted(ends)
+        if len(ids) != at[-1] + 1 or (sums[at] != ends).any():  # a model that leaves bytes out
+            return self._segments(keys)
+        flat, at = ids.astype("<u2").tobytes(), (2 * at + 2).tolist()
+        return [flat[a:b] if s[0] != "\n" else self.line + flat[a:b] for s, a, b in zip(keys, [0, *at], at)]
+
     def _segments(self, keys: list[str]) -> list[bytes]:
         """Ids of segments by their keys, encoded as the lines of one text: a line end is a token of its own here."""
         if not keys:
@@ -91,35 +132,41 @@ class Encoder:
         flat, at = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
         return [flat[a if s[0] == "\n" else a + 2:b] for s, a, b in zip(keys, at, at[1:])]
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new segments; a word is looked up without the punctuation behind it."""
-        split = {s: m.groups() for s in new if (m := ENDING.fullmatch(s))}
-        words = [s for s in (new - split.keys()).union(a for a, _ in split.values()) if s not in self.known]
-        ends = list({b for _, b in split.values()} - self.endings.keys())
-        self.known.update(zip(words, self._segments(words)))
-        self.endings.update(zip(ends, self.whole(ends)))
-        self.known.update((s, self.known[a] + self.endings[b]) for s, (a, b) in split.items())
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new segments without white space; a word is looked up without the punctuation behind it."""
+        parts = PARTS.findall(" ".join([*new, ""]))
+        known, endings = self.known, self.endings
+        words = list({a for a, _ in parts if a}.difference(known))
+        known.update(zip(words, self._words(words)))
+        others = [s for s, (a, _) in zip(new, parts) if not a]
+        known.update(zip(others, self._segments(others)))
+        ends = list({b for a, b in parts if a and b}.difference(endings))
+        endings.update(zip(ends, self.whole(ends)))
+        known.update([(s, known[a] + endings[b]) for s, (a, b) in zip(new, parts) if a and b])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.SEGMENTS:
             self.known, self.endings = {}, {}
-        cuts, fronts = [], {}
-        for i, t in enumerate(texts):
-            if t and not UNEVEN.search(t):
-                cuts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-            else:
-                front, *cut = EVEN.split(t)
-                fronts[i] = front
-                cuts.append(cut)
-        new = set().union(*cuts).difference(self.known)
+        fronts: dict[int, str] = {}
+        cuts = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
+        new = list(set().union(*cuts).difference(self.known))
+        # What is known holds no white space but a line end in front, so an uneven text has a segment that shows here.
+        spaced: list[str] = []
+        if "" in new or "\n" in new or OTHER.search(" ".join(new)):
+            for i, t in enumerate(texts):
+                if UNEVEN.search(t):
+                    fronts[i], *cuts[i] = EVEN.split(t)
+            new = list(set().union(*cuts).difference(self.known))
+            spaced = [s for s in new if WHITE.search(s, 1)]
+            self.known.update(zip(spaced, self.whole([s if s[0] == "\n" else " " + s for s in spaced])))
+            new = list(set(new).difference(spaced))
         self._learn(new)
-        fronts.update(zip(fronts, self.whole(list(fronts.values()))))
+        starts = dict(zip(fronts, self.whole(list(fronts.values()))))
         skip, find = len(self.line), self.known.__getitem__
-        out = [fronts[i] + b"".join(map(find, c)) if i in fronts else b"".join(map(find, c))[skip:]
+        out = [starts[i] + b"".join(map(find, c)) if i in starts else b"".join(map(find, c))[skip:]
                for i, c in enumerate(cuts)]
-        for s in new:
-            if len(s) > self.LONGEST:
-                del self.known[s]
+        for s in [*spaced, *[s for s in new if len(s) > self.LONGEST]]:
+            del self.known[s]
         return out
 
 
